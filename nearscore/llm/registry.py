@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from nearscore.llm import exact, sharding
+from nearscore.llm import exact, packing, sharding, simhash, tokens
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_bpe": tokens.op2_bpe,
+    "op4_simhash": simhash.op4_simhash,
     "op7_exact_dedup": exact.op7_exact_dedup,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLE_SQL = {
