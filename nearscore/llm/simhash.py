@@ -6,21 +6,32 @@ one are verified and linked. All that share a variant lie within distance 1 of i
 2 of each other, so a star to the least of them links them all and no pair is lost; nothing is capped. Documents with
 equal fingerprints are one node, however many there are, and are never paired with each other.
 
+near_links() finds documents whose shingle sets have a Jaccard similarity of `similarity` or more, for which 64 bits at
+radius 2 are too narrow. It makes several short fingerprints (tables) of one document from independent bits, hashes the
+ball of each as above, and verifies what collides: first by 64 bits more that travel with the rows, inside the bucket,
+so that chance collisions are never emitted; then by all bits; then exactly, on the shingle sets. The tables' width
+follows from the number of documents (buckets hold a few rows at every size), their number from the chance that a
+pair at exactly `similarity` differs in at most 2 bits in one of them: RECALL. No bucket is cut.
+
 Cases: null and empty texts, and texts of white space, have fingerprint zero, linked like any other; very long texts
 are counted in blocks of shingles; repeated rows are rows of the same component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearscore.llm.common import components, cut, map_batches, table
+from nearscore.llm.common import components, cut, map_batches, small, table
 
 SEED = 42
 RADIUS = 2
 BLOCK = 1 << 14
+#: near_links: the least similarity, words of a shingle, and the chance to find a pair at that similarity.
+SIMILARITY, WORDS, RECALL = 0.8, 5, 0.995
 
 
 def shingle_hashes(text: str | None, words: int):
@@ -84,6 +95,134 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return docs.join(of, "fp").select("id", "fp", "component_id")
 
 
+def bit_chance(similarity: float) -> float:
+    """Chance that a bit differs between sets of equal size and this Jaccard similarity: their angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tables_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Number of tables and their width in bits for n documents."""
+    bits, p = min(40, max(16, math.ceil(math.log2(max(n, 2))) + 2)), bit_chance(similarity)
+    found = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(RADIUS + 1))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found))), bits
+
+
+def _spread(h, k: int):
+    """The k-th of any number of independent 64-bit hashes made from one."""
+    import numpy as np
+
+    x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str | None, words: int):
+    """Distinct shingle hashes, ascending."""
+    import numpy as np
+
+    parts = [*shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def signature(shingles, tables: int, bits: int) -> tuple[int, list[int]]:
+    """64 check bits and a fingerprint of `bits` bits for each table, over a set of shingle hashes."""
+    import numpy as np
+
+    ones = []
+    for k in range(1 + -(-tables * bits // 64)):
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), BLOCK):
+            h = _spread(shingles[at : at + BLOCK], k)
+            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones.append(2 * total > len(shingles))
+    check = int(np.packbits(ones[0], bitorder="little").view("<i8")[0])
+    rest = np.concatenate(ones[1:])[: tables * bits].reshape(tables, bits)
+    return check, [int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little") for row in rest]
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, words: int, tables: int, bits: int) -> DataFrame:
+    """id, check and tables of every row with an id and a word."""
+
+    def rows(batches):
+        for batch in batches:
+            out = {"id": [], "check": [], "tables": []}
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if len(s := shingle_set(t.as_py(), words)):
+                    for name, v in zip(out, (i, *signature(s, tables, bits))):
+                        out[name].append(v)
+            yield out
+
+    columns = df.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text").where("id IS NOT NULL")
+    return map_batches(columns, rows, "id long, check long, tables array<long>")
+
+
+def colliding(rows: DataFrame, most: int) -> DataFrame:
+    """u > v: ids that share a key and differ in at most `most` check bits. rows: key, id, check."""
+
+    def pairs(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def within(key, i, check):
+            step = 1
+            while step < len(key) and (same := np.flatnonzero(key[step:] == key[:-step])).size:
+                near = same[np.bitwise_count(check[same] ^ check[same + step]) <= most]
+                a, b = i[near], i[near + step]
+                yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))}
+                step += 1
+
+        held = None  # rows come sorted by key; the last key may go on in the next batch
+        for batch in batches:
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view("u8")]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if len(held[0]) and (end := int(np.searchsorted(held[0], held[0][-1], "left"))):
+                yield from within(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held is not None:
+            yield from within(*held)
+
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), pairs, "u long, v long").where("u <> v").distinct()
+
+
+def near_links(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """u > v, similarity: pairs of ids whose shingle sets have at least this Jaccard similarity."""
+    n = df.count()
+    tables, bits = tables_for(n, similarity, recall)
+    sigs = cut(signatures(df, id_col, text_col, words, tables, bits))
+    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(bits)))
+    balls = sigs.select("id", "check", F.posexplode("tables").alias("t", "value")).select("id", "check", "t", "value", F.explode(masks).alias("mask"))
+    key = F.shiftleft(F.col("t").cast("long"), bits) + F.col("value").bitwiseXOR(F.col("mask"))
+    p, wide = bit_chance(similarity), 64 + tables * bits
+    most = lambda width: math.floor(width * p + 4.5 * math.sqrt(width * p * (1 - p)))
+    pairs = colliding(balls.select(key.alias("key"), "id", "check"), most(64))
+    a, b = (sigs.select(F.col("id").alias(x), F.col("check").alias(f"check_{x}"), F.col("tables").alias(f"tables_{x}")) for x in "uv")
+    differing = F.bit_count(F.col("check_u").bitwiseXOR(F.col("check_v"))) + F.aggregate(
+        F.zip_with("tables_u", "tables_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+    )
+    pairs = cut(pairs.join(a, "u").join(b, "v").where(differing <= most(wide)).select("u", "v"))
+    ids = small(cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), 16)
+
+    def sets(batches):
+        for batch in batches:
+            yield {"id": batch.column(0), "shingles": [shingle_set(t.as_py(), words).view("i8").tolist() for t in batch.column(1)]}
+
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id")
+    shingles = cut(map_batches(texts, sets, "id long, shingles array<long>"))
+    a, b = (shingles.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
+    both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("set_u", "set_v")))
+    exact = F.col("shared") / (F.size("set_u") + F.size("set_v") - F.col("shared"))
+    return both.select("u", "v", exact.alias("similarity")).where(F.col("similarity") >= similarity)
+
+
+def near_dedup(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """df without near copies: of each group that links connect, the row with the least id stays. Rows without an id or
+    a word stay; rows that share an id are one document."""
+    labels = components(near_links(df, id_col, text_col, words, similarity))
+    gone = small(cut(labels.where("node <> label").select(F.col("node").alias("__gone"))), 16)
+    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), "doc_id", "text", 3).select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

@@ -235,3 +235,29 @@ def test_ball_links_reach_what_all_pairs_reach(spark):
         classes[find(f)].add(f)
         mine[got.get(f, ("alone", f))].add(f)
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_near_links_equal_brute_force(spark, documents, awkward, no_rows):
+    rng = random.Random(6)
+    rows = [(r.doc_id, r.text) for r in documents.dropDuplicates(["text"]).limit(250).collect()]
+    for k, (_, t) in enumerate(rows[:120]):
+        w = t.split()
+        for _ in range(max(1, len(w) // rng.randrange(40, 120))):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((10_000 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0}
+    got = {(r.u, r.v) for r in simhash.near_links(df, "doc_id", "text").collect()}
+    assert len(want) > 50 and got <= want and len(got) >= 0.98 * len(want)
+    kept = {r.doc_id for r in simhash.near_dedup(df, "doc_id", "text").collect()}
+    assert all(a not in kept or b not in kept for a, b in got)
+    assert kept >= set(sets) - {x for p in got for x in p}
+    assert simhash.near_dedup(no_rows, "doc_id", "text").count() == 0
+    out = simhash.near_dedup(awkward, "doc_id", "text")
+    assert out.columns == awkward.columns and {r.doc_id for r in out.collect()} == {r.doc_id for r in awkward.collect()} - {1, 13}
+
+
+def test_tables_grow_with_documents():
+    few, many = simhash.tables_for(10**4, 0.8, 0.995), simhash.tables_for(10**9, 0.8, 0.995)
+    assert few[1] < many[1] and few[0] < many[0]
