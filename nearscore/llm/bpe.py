@@ -70,8 +70,10 @@ class Merges:
             length = len(u.removesuffix(suffix)) + reach
             best[u] = max(best.get(u, 0), length)
             self.lookahead = max(self.lookahead, length)
-        self._rank = {pair: rank for pair, (rank, _) in self.rules.items()}
-        self._made = {rank: token for rank, token in self.rules.values()}
+        # pairs as one number and tokens by rank, for the short path of merge()
+        self._size = max(vocab.values()) + 1
+        self._rank = {u * self._size + v: rank for (u, v), (rank, _) in self.rules.items()}
+        self._made = dict(self.rules.values())
         self._none = 1 << 60
         order = {t: i for i, t in enumerate(made)}
         self.proper &= all(order.get(x, -1) < i for i, (t, uv) in enumerate(made.items()) for x in uv)
@@ -82,18 +84,18 @@ class Merges:
         if n < 2:
             return ids
         if n <= 64:
-            get, none = self._rank.get, self._none
-            ranks = [get(p, none) for p in zip(ids, ids[1:])]
+            get, none, made, size = self._rank.get, self._none, self._made, self._size
+            ranks = [get(a * size + b, none) for a, b in zip(ids, ids[1:])]
             while (low := min(ranks)) != none:
-                at = ranks.index(low)
-                ids[at : at + 2] = [self._made[low]]
-                del ranks[at]
-                if not ranks:
-                    break
-                if at < len(ranks):
-                    ranks[at] = get((ids[at], ids[at + 1]), none)
+                at, token = ranks.index(low), made[low]
+                ids[at] = token
+                del ids[at + 1], ranks[at]
                 if at:
-                    ranks[at - 1] = get((ids[at - 1], ids[at]), none)
+                    ranks[at - 1] = get(ids[at - 1] * size + token, none)
+                if at < len(ranks):
+                    ranks[at] = get(token * size + ids[at + 1], none)
+                elif not ranks:
+                    break
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rules.get((ids[i], ids[i + 1])))]
@@ -180,14 +182,15 @@ class Bpe:
 
     def _short(self, piece: str) -> bytes:
         """Ids (little-endian, 32 bits) of a pre-token of at most WORD_SYMBOLS bytes, given in byte symbols."""
-        first = self._first
-        return array("I", self.merges.merge([*(first[c] for c in piece[:-1]), self._last[piece[-1]]])).tobytes()
+        ids = [*map(self._first.__getitem__, piece)]
+        ids[-1] = self._last[piece[-1]]
+        return array("I", self.merges.merge(ids)).tobytes()
 
     def _piece(self, piece: str) -> Iterator[bytes]:
         """Ids of a pre-token of any length, given in byte symbols."""
         if len(piece) <= WORD_SYMBOLS:
             if (ids := self._pieces.get(piece)) is None:
-                if len(self._pieces) >= CACHE_WORDS:
+                if len(self._pieces) >= CACHE_WORDS // 4:
                     self._pieces.clear()
                 ids = self._short(piece)
                 if len(piece) <= 40:
@@ -205,7 +208,7 @@ class Bpe:
     def _word(self, word: str) -> bytes:
         """Of a word without white space, through both generations of the cache."""
         if (ids := self._old.get(word)) is None:
-            parts = _WORD.findall(word)
+            parts = _WORD.findall(word) if not word.isalpha() else [word]
             if len(parts) == 1:
                 piece = word if word.isascii() else self._as_symbols(word)
                 ids = self._short(piece) if len(piece) <= WORD_SYMBOLS else b"".join(self._piece(piece))
