@@ -247,6 +247,8 @@ def repeated_starts(core, n_left, n_right, sides):
     mask = np.zeros(len(core), np.uint64)
     for d, left in enumerate(refine(block, sides[:, :SIDE], n_left)):
         both = np.flatnonzero((left >= 0) & (right[SIDE - d] >= 0))
+        if not len(both):
+            continue
         keys = left[both] * (len(core) + 1) + right[SIDE - d][both]
         order = np.argsort(keys, kind="stable")
         keys = keys[order]

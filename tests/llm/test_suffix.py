@@ -109,3 +109,11 @@ def test_refine_gives_common_prefixes():
                 assert block[i] >= 0 and {j for j in range(60) if block[j] == block[i]} == set(same)
             elif depth:
                 assert block[i] == -1
+
+
+def test_no_suffix_open_on_both_sides():
+    side = suffix.SIDE
+    sides = np.zeros((2, 2 * side), np.uint8)
+    assert suffix.repeated_starts(np.array([1, 2]), np.array([side, side]), np.array([side, side]), sides).tolist() == [0, 0]
+    assert suffix.repeated_starts(np.array([1, 1]), np.array([0, 0]), np.array([0, 0]), sides).tolist() == [0, 0]
+    assert suffix.repeated_starts(np.array([1, 1]), np.array([0, 0]), np.array([side, side]), sides).tolist() == [1, 1]
