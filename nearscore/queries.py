@@ -231,17 +231,16 @@ def _distance(name: str, column, sql: str) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = T.embedding_references(spark, sf_dir).select("ref_id", "vector")
         first = rows.agg(F.min_by("vector", "ref_id").alias("one"))
-        return rows.crossJoin(F.broadcast(first)).select("ref_id", column.alias("d"))  # one row
+        return rows.crossJoin(F.broadcast(first)).select("ref_id", column(F.col("one"), F.col("vector")).alias("d"))  # one row
 
     f.__name__ = name
     query(f"WITH {EMBEDDINGS_SQL}, one AS (SELECT vector AS one FROM refs ORDER BY ref_id LIMIT 1) SELECT ref_id, {sql} AS d FROM refs, one")(f)
 
 
-_a, _b = F.col("one"), F.col("vector")
-_distance("l2_int16", V.l2_squared_int(V.quantize_query(_a), V.quantize_reference(_b), 64), f"{l2(q_query('one'), q_ref('vector'))}::BIGINT")
-_distance("l2_prefix8", V.l2_squared_int(V.quantize_query(_a), V.quantize_reference(_b), 64, 8), f"{l2(q_query('one[1:8]'), q_ref('vector[1:8]'))}::BIGINT")
-_distance("l2_float", F.round(V.l2_squared(_a, _b, 64), 6), f"round({l2('one', 'vector')}, 6)")
-_distance("dot", F.round(V.dot(_a, _b, 64), 6), "round(list_sum(list_transform(list_zip(one, vector), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)")
+_distance("l2_int16", lambda a, b: V.l2_squared_int(V.quantize_query(a), V.quantize_reference(b), 64), f"{l2(q_query('one'), q_ref('vector'))}::BIGINT")
+_distance("l2_prefix8", lambda a, b: V.l2_squared_int(V.quantize_query(a), V.quantize_reference(b), 64, 8), f"{l2(q_query('one[1:8]'), q_ref('vector[1:8]'))}::BIGINT")
+_distance("l2_float", lambda a, b: F.round(V.l2_squared(a, b, 64), 6), f"round({l2('one', 'vector')}, 6)")
+_distance("dot", lambda a, b: F.round(V.dot(a, b, 64), 6), "round(list_sum(list_transform(list_zip(one, vector), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)")
 
 BOXES_SQL = f"""{EMBEDDINGS_SQL}, {SEARCHES_SQL}, dims AS (SELECT label AS cluster_id, unnest(range(64)) AS dim, unnest({q_ref('embedding')}) AS q FROM embeddings),
 boxes AS (SELECT cluster_id, dim, min(q) AS lo, max(q) AS hi FROM dims GROUP BY cluster_id, dim)"""
