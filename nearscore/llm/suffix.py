@@ -12,7 +12,8 @@ whole. In the order of the steps:
 3. Shards merge at depth CORE: a suffix is known by a hash of its first CORE bytes, equal ones form a block, and a
    block with one suffix is settled. Those whose whole context (WINDOW - 1 bytes before the anchor to LENGTH after) a
    second suffix of the block has are settled too: all their strings are repeated. This leaves the suffixes
-   where a repeat begins or ends.
+   where a repeat begins or ends. Each shard does this for its own suffixes first and sends the others one row for what
+   it has found repeated, so no block grows with the texts that share it, only with the shards.
 4. These are merged symbol by symbol, as Burrows-Wheeler transforms are (Holt and McMillan, 2014): in each
    iteration the blocks of the interleave are split, stably, by the next byte on the right; the iteration in which a
    suffix is alone in its block is its longest common prefix (Egidi and Manzini, 2017). The transform's symbols, the
@@ -162,28 +163,68 @@ def index_texts(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFra
     return df.sparkSession.read.parquet(path)
 
 
+#: Kinds of rows that shards send: a suffix that is alone with its context in its shard; one of several with it (or a
+#: passive one); one for the several suffixes of a block whose contexts are alone; and what a shard can tell by itself.
+ALONE, SAME, SOME, IS_ALL, IS_EDGE = range(5)
+
+
+def shard_merge(core, context, passive):
+    """A shard's own interleave at depth CORE, merged: (positions, kinds) of the rows that it sends. A block of any
+    number of suffixes sends one row for each repeated context and one for all others; suffixes about which that
+    settles everything need no block elsewhere."""
+    import numpy as np
+
+    order = np.lexsort((context, core))
+    new_core = np.r_[True, np.diff(core[order]) != 0]
+    new = new_core | np.r_[True, np.diff(context[order]) != 0]
+    group, block = np.cumsum(new) - 1, np.cumsum(new_core) - 1
+    weight = np.bincount(group, 1 + passive[order])[group]
+    alone = weight == 1
+    several = alone & (np.bincount(block, alone)[block] > 1)
+    first_several = np.zeros(len(order), bool)
+    at = np.flatnonzero(several)
+    first_several[at[np.r_[True, np.diff(block[at]) != 0]] if len(at) else at] = True
+    sent = (
+        (alone & ~several, ALONE), (new & ~alone, SAME), (first_several, SOME),
+        (~alone & ~passive[order].astype(bool), IS_ALL), (several, IS_EDGE),
+    )
+    rows = np.concatenate([order[m] for m, _ in sent])
+    return rows, np.repeat(np.arange(5, dtype=np.int32), [int(m.sum()) for m, _ in sent])
+
+
 def known(texts: DataFrame) -> DataFrame:
-    """number and known, an array of 8 * position + (ALL, EDGE, PARTNER), of every text with such anchors."""
+    """number and known, an array of 8 * position + (ALL, EDGE, PARTNER), of every text with such anchors.
+
+    Shards merge their own suffixes first, so a block that a large part of all texts share is a few rows a shard. Rows
+    that a shard has settled go along under keys of their own, spread evenly, on their way to their texts.
+    """
 
     def rows(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             number, passive = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for row, at, core, context in anchor_rows(batch.column(2)):
-                yield {"core": pa.array(core.view("i8")), "context": pa.array(context.view("i8") >> 32), "number": pa.array(number[row]), "at": pa.array(at), "weight": pa.array(passive[row].astype("i4") + 1)}
-
-    found = map_batches(texts.where(F.col("n_bytes") >= LENGTH).select("number", "passive", "text"), rows, "core long, context int, number long, at int, weight int")
-    same = W.partitionBy("core", "context")
-    block = W.partitionBy("core")
-    more = found.withColumn("n", F.count(F.lit(1)).over(block)).where("n > 1").drop("n")
-    more = more.withColumn("n", F.sum("weight").over(same)).withColumn("first", F.row_number().over(same.orderBy("number", "at")) == 1)
-    edge = F.col("n") == 1
-    more = more.withColumn("edges", F.max(edge).over(block))
-    code = (
-        F.when((F.col("n") > 1) & (F.col("weight") == 1), ALL).otherwise(0) + F.when(edge, EDGE).otherwise(0)
-        + F.when((F.col("n") > 1) & F.col("edges") & F.col("first"), PARTNER).otherwise(0)
-    )
+                if not len(at):
+                    continue
+                context = (context.view("i8") >> 32).astype(np.int32)
+                sent, kind = shard_merge(core, context, passive[row].astype(np.int64))
+                of, at = number[row][sent], at[sent]
+                own = (of.view("u8") * np.uint64(GRAM_MIX) ^ at.astype(np.uint64)) * np.uint64(LAST_MIX)
+                key = np.where(kind >= IS_ALL, own, core[sent])
+                yield {"core": pa.array(key.view("i8")), "context": pa.array(context[sent]), "number": pa.array(of), "at": pa.array(at), "kind": pa.array(kind)}
+
+    found = map_batches(texts.where(F.col("n_bytes") >= LENGTH).select("number", "passive", "text"), rows, "core long, context int, number long, at int, kind int")
+    kind = F.col("kind")
+    block, same = W.partitionBy("core"), W.partitionBy("core", "context")
+    more = found.withColumn("n", F.count(F.lit(1)).over(block)).where((F.col("n") > 1) | (kind >= IS_ALL))
+    more = more.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("first", F.row_number().over(same.orderBy("kind", "number", "at")) == 1)
+    edge = (kind == ALONE) & (F.col("n") == 1)
+    more = more.withColumn("edges", F.max(edge | (kind == SOME)).over(block))
+    whole = (kind == IS_ALL) | ((kind == ALONE) & (F.col("n") > 1))
+    partner = F.col("edges") & F.col("first") & ((kind == SAME) | ((kind == ALONE) & (F.col("n") > 1)))
+    code = F.when(whole, ALL).otherwise(0) + F.when(edge | (kind == IS_EDGE), EDGE).otherwise(0) + F.when(partner, PARTNER).otherwise(0)
     return more.select("number", (F.col("at").cast("long") * 8 + code).alias("x")).where("x % 8 > 0").groupBy("number").agg(F.collect_list("x").alias("known"))
 
 

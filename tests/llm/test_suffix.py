@@ -117,3 +117,26 @@ def test_no_suffix_open_on_both_sides():
     assert suffix.repeated_starts(np.array([1, 2]), np.array([side, side]), np.array([side, side]), sides).tolist() == [0, 0]
     assert suffix.repeated_starts(np.array([1, 1]), np.array([0, 0]), np.array([0, 0]), sides).tolist() == [0, 0]
     assert suffix.repeated_starts(np.array([1, 1]), np.array([0, 0]), np.array([side, side]), sides).tolist() == [1, 1]
+
+
+def test_shard_merge_sends_few_rows_for_a_shared_block():
+    core = np.array([7] * 50 + [8] * 40 + [9, 10], np.uint64)
+    context = np.array([1] * 50 + [*range(40)] + [3, 4], np.int32)
+    passive = np.zeros(92, np.int64)
+    passive[91] = 1
+    rows, kind = suffix.shard_merge(core, context, passive)
+    assert Counter(kind.tolist()) == {suffix.SAME: 2, suffix.SOME: 1, suffix.ALONE: 1, suffix.IS_ALL: 50, suffix.IS_EDGE: 40}
+    assert {int(core[r]) for r, k in zip(rows, kind) if k == suffix.IS_EDGE} == {8}
+    assert [int(core[r]) for r, k in zip(rows, kind) if k == suffix.ALONE] == [9]
+
+
+def test_hot_passages_in_few_and_many_shards(spark):
+    """One passage in every text, between texts of all lengths: blocks as large as the table."""
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(420)
+    rows = [(k, prose(rng.randrange(0, 80)) + (passage if k % 3 else passage[:210] + "!" + passage[210:]) + prose(rng.randrange(0, 80))) for k in range(150)]
+    want = brute(rows)[0]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert Counter(map(tuple, suffix.spans(df, "doc_id", "text").collect())) == want
