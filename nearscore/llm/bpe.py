@@ -31,7 +31,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 BLOCK_CHARS = 1 << 20
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 WORD_SYMBOLS = 256
 
 #: Characters for which lower(), one white space class and the word pattern below agree with the library's rules.

@@ -44,7 +44,7 @@ from nearscore.llm.exact import duplicate_groups
 
 LENGTH, WINDOW, GRAM = 200, 64, 8
 CORE, SIDE = LENGTH - WINDOW + 1, WINDOW - 1
-BLOCK, HALO = 1 << 20, 512
+BLOCK, HALO = 1 << 18, 512
 #: What is known of an anchor; a sum of these.
 ALL, EDGE, PARTNER = 1, 2, 4
 #: Odd multipliers of the hashes: of 8-byte grams, of running sums, and of the last mixing.
@@ -359,8 +359,9 @@ def removed(size: int, whole, some) -> list[tuple[int, int]]:
 SPANS = "number long, n_removed long, n_spans long, kept binary"
 
 
-def cut_out(repeats: DataFrame, starts: DataFrame) -> DataFrame:
-    """number, n_removed, n_spans and kept (the bytes that remain) of every text that loses bytes."""
+def cut_out(repeats: DataFrame, starts: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """number, n_removed, n_spans and kept (the bytes that remain) of every text that loses bytes. With
+    whole_characters, what a cut leaves of a character goes as well from kept."""
 
     def rows(batches):
         import numpy as np
@@ -375,14 +376,16 @@ def cut_out(repeats: DataFrame, starts: DataFrame) -> DataFrame:
                     continue
                 edges = [0, *(e for s in spans for e in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                for name, v in zip(out, (number.as_py(), len(data) - len(kept), len(spans), kept)):
+                gone = len(data) - len(kept)
+                kept = kept.decode(errors="ignore").encode() if whole_characters else kept
+                for name, v in zip(out, (number.as_py(), gone, len(spans), kept)):
                     out[name].append(v)
             yield out
 
     return map_batches(repeats.join(starts, "number", "left").select("number", "text", "known", "starts"), rows, SPANS)
 
 
-def find_repeats(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def find_repeats(df: DataFrame, id_col: str, text_col: str, whole_characters: bool = False) -> tuple[DataFrame, DataFrame]:
     """The index's texts, and (number, n_removed, n_spans, kept) of those of them that lose bytes."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -391,7 +394,7 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     # texts with a repeat, few beside all, are written with what is known of them; all else is narrow
     texts.select("number", "text").join(known(texts), "number").write.option("compression", "zstd").parquet(f"{path}/repeats")
     repeats = spark.read.parquet(f"{path}/repeats")
-    return texts, cut_out(repeats, merge(contexts(repeats)))
+    return texts, cut_out(repeats, merge(contexts(repeats)), whole_characters)
 
 
 def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -418,14 +421,8 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df with repeated strings taken out of its texts, which are otherwise as they were; where a cut splits a
     character, its remaining bytes go as well. No row goes, even if its text is empty then. Row identity is
     (id, text): rows that agree in both get the same text."""
-    texts, found = find_repeats(df, id_col, text_col)
-    new = texts.select("number", "text_sha256").join(found, "number").select(F.col("text_sha256").alias("__sha"), F.col("kept").alias("__kept"))
-
-    def decoded(batches):
-        for batch in batches:
-            yield {"__sha": batch.column(0), "__text": [k.as_py().decode(errors="ignore") for k in batch.column(1)]}
-
-    new = map_batches(new, decoded, "__sha string, __text string")
+    texts, found = find_repeats(df, id_col, text_col, whole_characters=True)
+    new = texts.select("number", "text_sha256").join(found, "number").select(F.col("text_sha256").alias("__sha"), F.col("kept").cast("string").alias("__text"))
     groups = small(cut(duplicate_groups(df, id_col, text_col)), 96).select(F.col("text_sha256").alias("__sha"), F.lit(True).alias("__copy"))
     rows = df.withColumn("__sha", F.sha2(text_or_empty(text_col).cast("binary"), 256)).join(groups, "__sha", "left").join(new, "__sha", "left")
     empty = F.col("__copy") & (F.octet_length(text_or_empty(text_col)) >= LENGTH)
