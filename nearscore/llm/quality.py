@@ -4,8 +4,9 @@ Grades run from 0 up, in order: by default 0 toxic, 1 poor, 2 good. All grades s
 text; ordered thresholds cut the score, P(grade <= k) = sigmoid(threshold k - score). A row gets its expected grade
 and the probability of its grade being the highest, by which rows are chosen.
 
-Features are present or absent: each distinct word (ASCII lower-cased, marks at its ends stripped), hashed into 2**18
-buckets, and a few bucketed ratios of marks, capitals and repeated words, hashed too. Buckets that few labelled texts
+Features are present or absent: each distinct word (ASCII lower-cased, marks at its ends stripped) and the beginnings of
+words (4 and 5 bytes, for stems that occur with many endings), runs of marks at the ends of words, and which of a few
+STEPS the ratios of marks, capitals and repeated words reach, all hashed into 2**18 buckets. Buckets that few labelled texts
 have are left out. The fit sees about SAMPLE labelled rows, drawn by a hash of their id; it is made on the driver from
 their bucket numbers; the weights (1 MB) go to the executors, which score whole texts.
 
@@ -26,6 +27,8 @@ from nearscore.llm.rules import SAMPLE, labelled, statistics
 
 BITS = 18
 STRIP = b".,;:!?#*$%&|<>()[]{}\"'"
+STEMS = (4, 5)
+STEPS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8)
 CHOOSE = 0.5
 
 SCORES = "id long, expected_grade double, tail_prob double, kept boolean"
@@ -37,11 +40,15 @@ def features(text: str | None) -> list[int]:
     if not words:
         return []
     mask = (1 << BITS) - 1
-    found = {zlib.crc32(w.strip(STRIP)) & mask for w in set(words)}
+    crc, distinct_words = zlib.crc32, {w.strip(STRIP) for w in set(words)}
+    found = {crc(w) & mask for w in distinct_words}
+    for k in STEMS:
+        found |= {crc(w, k) & mask for w in {w[:k] for w in distinct_words if len(w) > k}}
     n, chars, symbols, dup, repeat, lines, distinct, caps, marks = statistics(text)
     shares = {"symbols": symbols / n, "caps": caps / n, "marks": marks / n, "dup": dup / lines, "repeat": repeat / n, "distinct": distinct / n}
-    found |= {zlib.crc32(f"{k} {min(9, int(10 * v))}".encode(), 1) & mask for k, v in shares.items()}
-    found |= {zlib.crc32(f"length {n.bit_length()}".encode(), 1) & mask, zlib.crc32(f"mean {chars // n}".encode(), 1) & mask}
+    found |= {crc(f"{k} {step}".encode(), 1) & mask for k, v in shares.items() for step in STEPS if v >= step}
+    found |= {crc(m, 2) & mask for m in {w[len(w.rstrip(STRIP)) :] for w in set(words)} if len(m) > 1}
+    found |= {crc(f"length {n.bit_length()}".encode(), 1) & mask, crc(f"mean {chars // n}".encode(), 1) & mask}
     return sorted(found)
 
 
@@ -62,7 +69,8 @@ class Model:
 
 
 def train(texts: list[list[int]], grades: list[int], n_grades: int, steps: int = 250, ridge: float = 2e-3, rate: float = 0.05) -> Model:
-    """Minimises the mean negative log likelihood with a ridge on the weights, by Adam on all rows at once."""
+    """Minimises the mean negative log likelihood with a ridge on the weights, by Adam on all rows at once, in steps that shrink to
+    nothing."""
     import numpy as np
 
     least = max(3, len(texts) // 1000)
@@ -97,7 +105,7 @@ def train(texts: list[list[int]], grades: list[int], n_grades: int, steps: int =
         grad[len(used)] = tail[0]
         grad[len(used) + 1 :] = tail[1:] * np.exp(params[len(used) + 1 :])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        params -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        params -= rate * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = params[: len(used)]
     return Model(weights, thresholds(params))
