@@ -19,12 +19,13 @@ whole. In the order of the steps:
    suffix is alone in its block is its longest common prefix (Egidi and Manzini, 2017). The transform's symbols, the
    bytes that precede the suffixes, split blocks on the left in the same way. A string that starts d bytes before an
    anchor is a repeated interval if another suffix shares both its left block at depth d and its right block at depth
-   LENGTH - d. Bytes are compared here, not hashes.
+   LENGTH - d. Bytes are compared here, not hashes. A block of more than LARGE suffixes is spread over tasks by what its
+   intervals hold.
 5. Repeated intervals go back to their texts, overlaps count once, and the rest of the text is kept.
 
 Blocks are known by hashes (64 bits, and 32 more for contexts), so their order among each other is not alphabetical;
 nothing here needs it. What is shuffled: 20 bytes or so for each anchor (one in 32 bytes of text), the texts that have
-a repeat, and 126 bytes for each suffix of step 4. Long texts are cut into overlapping blocks. No step caps a block.
+a repeat, and 126 bytes for each suffix of step 4 (16 bytes for each interval, up to 64, in large blocks). Long texts are cut into overlapping blocks. No step caps a block.
 
 Cases: null text is empty; texts under LENGTH bytes keep all; rows that repeat an id or a whole row are documents of
 their own; ties cannot matter, as strings are judged on the input; an empty table gives an empty result.
@@ -45,6 +46,8 @@ from nearscore.llm.exact import duplicate_groups
 LENGTH, WINDOW, GRAM = 200, 64, 8
 CORE, SIDE = LENGTH - WINDOW + 1, WINDOW - 1
 BLOCK, HALO = 1 << 18, 512
+#: Blocks of more suffixes than this are not merged in one task.
+LARGE = 1024
 #: What is known of an anchor; a sum of these.
 ALL, EDGE, PARTNER = 1, 2, 4
 #: Odd multipliers of the hashes: of 8-byte grams, of running sums, and of the last mixing.
@@ -298,8 +301,11 @@ def repeated_starts(core, n_left, n_right, sides):
     return mask
 
 
+MASKS = "number long, at int, mask long"
+
+
 def merge(around: DataFrame) -> DataFrame:
-    """number and starts (position, mask) of every text with repeated intervals among its edges."""
+    """number, at, mask of every active suffix with repeated intervals, blocks merged one after another in a task."""
     need = 1 << 15
 
     def rows(batches):
@@ -331,7 +337,29 @@ def merge(around: DataFrame) -> DataFrame:
             yield from done(held)
 
     together = around.repartition("core").sortWithinPartitions("core")
-    return map_batches(together, rows, "number long, at int, mask long").groupBy("number").agg(F.collect_list(F.struct("at", "mask")).alias("starts"))
+    return map_batches(together, rows, MASKS)
+
+
+def merge_large(around: DataFrame) -> DataFrame:
+    """The same for blocks that are too large for one task: each interval is a row under a hash of its own (128 bits),
+    counted with map-side combining; the counts go back to the rows in a join, which AQE splits where it is skewed."""
+    low, high = F.greatest(F.lit(0), SIDE - F.col("n_right")), F.least(F.lit(SIDE), F.col("n_left"))
+    each = around.where(low <= high).select("core", "number", "at", "active", "sides", F.explode(F.sequence(low, high)).alias("d"))
+    string = (F.col("core"), F.col("d"), F.substring("sides", F.lit(1), F.col("d")), F.substring("sides", F.lit(SIDE + 1), SIDE - F.col("d")))
+    each = each.select("number", "at", "active", "d", F.xxhash64(*string).alias("a"), F.xxhash64(F.lit(1), *string).alias("b"))
+    counts = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    hit = each.where("active").join(counts, ["a", "b"])
+    return hit.groupBy("number", "at").agg(F.expr("bit_or(shiftleft(1L, d)) AS mask"))
+
+
+def starts(around: DataFrame) -> DataFrame:
+    """number and starts (position, mask) of every text with repeated intervals. around: materialised."""
+    large = cut(around.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("core"))
+    found = merge(around)
+    if large.count():
+        few = small(large, 16)
+        found = merge(around.join(few, "core", "left_anti")).unionByName(merge_large(around.join(few, "core", "left_semi")))
+    return found.groupBy("number").agg(F.collect_list(F.struct("at", "mask")).alias("starts"))
 
 
 def removed(size: int, whole, some) -> list[tuple[int, int]]:
@@ -359,7 +387,7 @@ def removed(size: int, whole, some) -> list[tuple[int, int]]:
 SPANS = "number long, n_removed long, n_spans long, kept binary"
 
 
-def cut_out(repeats: DataFrame, starts: DataFrame, whole_characters: bool = False) -> DataFrame:
+def cut_out(repeats: DataFrame, found: DataFrame, whole_characters: bool = False) -> DataFrame:
     """number, n_removed, n_spans and kept (the bytes that remain) of every text that loses bytes. With
     whole_characters, what a cut leaves of a character goes as well from kept."""
 
@@ -382,7 +410,7 @@ def cut_out(repeats: DataFrame, starts: DataFrame, whole_characters: bool = Fals
                     out[name].append(v)
             yield out
 
-    return map_batches(repeats.join(starts, "number", "left").select("number", "text", "known", "starts"), rows, SPANS)
+    return map_batches(repeats.join(found, "number", "left").select("number", "text", "known", "starts"), rows, SPANS)
 
 
 def find_repeats(df: DataFrame, id_col: str, text_col: str, whole_characters: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -394,7 +422,8 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str, whole_characters: bo
     # texts with a repeat, few beside all, are written with what is known of them; all else is narrow
     texts.select("number", "text").join(known(texts), "number").write.option("compression", "zstd").parquet(f"{path}/repeats")
     repeats = spark.read.parquet(f"{path}/repeats")
-    return texts, cut_out(repeats, merge(contexts(repeats)), whole_characters)
+    contexts(repeats).write.option("compression", "zstd").parquet(f"{path}/around")
+    return texts, cut_out(repeats, starts(spark.read.parquet(f"{path}/around")), whole_characters)
 
 
 def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

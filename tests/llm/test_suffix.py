@@ -49,8 +49,9 @@ def planted(seed, n=120):
     return out + [(n, out[0][1] * 3), (n + 1, out[5][1]), (n + 1, out[5][1]), (n + 2, None), (n + 3, "")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_planted_repeats(spark, seed):
+@pytest.mark.parametrize("seed,large", [(1, 1024), (2, 1024), (2, 1)])
+def test_planted_repeats(spark, seed, large, monkeypatch):
+    monkeypatch.setattr(suffix, "LARGE", large)
     rows = planted(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want, texts = brute(rows)
@@ -130,13 +131,14 @@ def test_shard_merge_sends_few_rows_for_a_shared_block():
     assert [int(core[r]) for r, k in zip(rows, kind) if k == suffix.ALONE] == [9]
 
 
-def test_hot_passages_in_few_and_many_shards(spark):
+def test_hot_passages_in_few_and_many_shards(spark, monkeypatch):
     """One passage in every text, between texts of all lengths: blocks as large as the table."""
     rng = random.Random(9)
     prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passage = prose(420)
     rows = [(k, prose(rng.randrange(0, 80)) + (passage if k % 3 else passage[:210] + "!" + passage[210:]) + prose(rng.randrange(0, 80))) for k in range(150)]
     want = brute(rows)[0]
-    for parts in (1, 7):
+    for parts, large in ((1, 1024), (7, 1024), (7, 20)):
+        monkeypatch.setattr(suffix, "LARGE", large)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
         assert Counter(map(tuple, suffix.spans(df, "doc_id", "text").collect())) == want
