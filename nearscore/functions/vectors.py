@@ -57,3 +57,8 @@ def permute(v: Column, order: tuple[int, ...] = DIM_ORDER) -> Column:
 def fitted(v: Column, dims: int = DIMS) -> Column:
     """Exactly dims values: more are cut off, missing ones are 0."""
     return F.array(*(F.coalesce(at(v, i), F.lit(0).cast("float")) for i in range(dims)))
+
+
+def padded(v: Column, dims: int = 16) -> Column:
+    """With zeros up to dims values; they add nothing to a distance."""
+    return F.slice(F.concat(v, F.array_repeat(F.lit(0).cast("float"), dims)), 1, dims)

@@ -27,9 +27,15 @@ def bad_request(payload: Column) -> Column:
     return payload.isNull() | (F.octet_length(payload) > MOST_PAYLOAD)
 
 
-def read_payload_lines(spark: SparkSession, path: str, shortest: int = 5) -> DataFrame:
-    """One payload a line; shorter lines are no payloads."""
-    return spark.read.text(path).where(F.length("value") >= shortest).withColumnRenamed("value", "payload")
+def read_payload_lines(spark: SparkSession, path: str, shortest: int = 5, first: int | None = None) -> DataFrame:
+    """One payload a line; shorter lines are no payloads. first: so many only, as for a warm-up."""
+    lines = spark.read.text(path).where(F.length("value") >= shortest).withColumnRenamed("value", "payload")
+    return lines if first is None else lines.limit(first)
+
+
+def load(spark: SparkSession, payloads: list[str], n: int) -> DataFrame:
+    """query_id, payload: n requests that go round the given payloads, for load tests."""
+    return spark.range(n).select(F.col("id").alias("query_id"), F.element_at(F.array(*map(F.lit, payloads)), (F.col("id") % len(payloads) + 1).cast("int")).alias("payload"))
 
 
 def read_payload_stream(spark: SparkSession, path: str) -> DataFrame:

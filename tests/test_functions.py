@@ -22,6 +22,7 @@ def test_kernels(spark):
     box = arr([0] * 16), arr([10] * 14 + [0, 0])
     assert one(spark, V.bbox_lower_bound(arr([5] * 14 + [0, 0]), *box, 16)) == 0
     assert one(spark, V.bbox_lower_bound(arr([15] + [5] * 13 + [0, 0]), *box, 16)) == 25
+    assert one(spark, V.padded(arr([1.0] * 14, "float"))) == [1.0] * 14 + [0.0] * 2
     assert one(spark, V.dot(arr([1.0, 2.0], "float"), arr([3.0, 4.0], "float"), 2)) == 11.0
 
 

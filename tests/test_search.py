@@ -54,14 +54,13 @@ def test_exact_knn(refs):
     assert neighbours(knn.exact_knn(queries, refs)) == brute(refs, queries, 5)
 
 
-def test_exact_knn_integers_and_ties(spark):
+def test_exact_knn_with_ties(spark):
     rng = random.Random(0)
     rows = [(i, [float(rng.randrange(3)) for _ in range(4)], i % 2) for i in range(300)]
     refs = spark.createDataFrame(rows, "ref_id long, vector array<float>, is_fraud int").repartition(5)
     queries = refs.where("ref_id < 20").select(F.col("ref_id").alias("query_id"), "vector")
     want = {i: [j for _, j in sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, w, _ in rows)[:7]] for i, v, _ in rows[:20]}
-    for integers in (False, True):
-        assert neighbours(knn.exact_knn(queries, refs, 7, integers)) == want
+    assert neighbours(knn.exact_knn(queries, refs, 7)) == want
     assert neighbours(knn.exact_knn(queries, refs.limit(3), 7))[0].__len__() == 3
     assert knn.exact_knn(queries.limit(0), refs).count() == 0
 
@@ -163,6 +162,8 @@ def test_warmup_lines(spark, tmp_path):
     assert [(r.amount, r.mcc, r.km_from_home) for r in rows.orderBy("idx").collect()] == want
     payloads.write_payload_lines(rows, str(tmp_path / "w"))
     lines = payloads.read_payload_lines(spark, str(tmp_path / "w")).collect()
+    assert payloads.read_payload_lines(spark, str(tmp_path / "w"), first=3).count() == 3
+    assert [r.payload for r in payloads.load(spark, ["a", "b", "c"], 7).orderBy("query_id").collect()] == [*"abcabca"]
     assert len(lines) == 10 and all([*json.loads(r.payload)] == sorted(json.loads(r.payload)) for r in lines)
 
 
@@ -240,3 +241,19 @@ def test_sweep_of_nothing_wrong(spark):
     assert analytics.safe_threshold(df).first().safe_threshold == 0
     assert analytics.safe_threshold(df.union(spark.createDataFrame([(0.8, 0)], df.schema))).first().safe_threshold == pytest.approx(0.601)
     assert analytics.threshold_sweep(df.limit(0)).count() == 6
+
+
+def test_nearest_is_exact_where_products_cancel():
+    from nearscore.operators.blocks import nearest
+
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e6, 1e-6):
+        refs = 1000 * scale + scale * rng.random((500, 6)) * 1e-3
+        queries = refs[:40] + scale * 1e-9
+        ids = rng.permutation(500)
+        row, at, dist = nearest(queries, refs, ids, 4)
+        d = np.zeros((40, 500))
+        for i in range(6):
+            d += (queries[:, None, i] - refs[None, :, i]) ** 2
+        want = [np.lexsort((ids, d[q]))[:4].tolist() for q in range(40)]
+        assert at.reshape(40, 4).tolist() == want and np.array_equal(dist, d[row, at])
