@@ -68,17 +68,17 @@ class Model:
         return float(over.sum()), float(over[-1])
 
 
-def train(texts: list[list[int]], grades: list[int], n_grades: int, steps: int = 250, ridge: float = 2e-3, rate: float = 0.05) -> Model:
+def train(texts: list, grades: list[int], n_grades: int, steps: int = 250, ridge: float = 2e-3, rate: float = 0.05) -> Model:
     """Minimises the mean negative log likelihood with a ridge on the weights, by Adam on all rows at once, in steps that shrink to
     nothing."""
     import numpy as np
 
     least = max(3, len(texts) // 1000)
-    column = np.concatenate([np.asarray(t, np.int64) for t in texts] or [np.empty(0, np.int64)])
+    column = np.concatenate([np.asarray(t, np.int32) for t in texts] or [np.empty(0, np.int32)])
     used = np.flatnonzero(np.bincount(column, minlength=1 << BITS) >= least)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     column = place[column]
     row, column = row[column >= 0], column[column >= 0]
     y = np.asarray(grades)
@@ -116,12 +116,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labelled(docs, labels, sample, quality=F.min("quality"), toxic=F.max("toxic"))
 
     def found(batches):
+        from array import array
+
         for batch in batches:
-            yield {"id": batch.column(0), "grade": batch.column(2), "buckets": [features(t.as_py()) for t in batch.column(1)]}
+            yield {"id": batch.column(0), "grade": batch.column(2), "buckets": [array("i", features(t.as_py())).tobytes() for t in batch.column(1)]}
 
     graded = rows.select("doc_id", "text", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).alias("grade"))
-    got = sorted(tuple(r) for r in map_batches(graded, found, "id long, grade int, buckets array<int>").collect())
-    return train([b for _, _, b in got], [g for _, g, _ in got], 3)
+    got = sorted(tuple(r) for r in map_batches(graded, found, "id long, grade int, buckets binary").collect())
+    import numpy as np
+
+    return train([np.frombuffer(b, np.int32) for _, _, b in got], [g for _, g, _ in got], 3)
 
 
 def classify(df: DataFrame, id_col: str, text_col: str, model: Model, choose: float = CHOOSE) -> DataFrame:
