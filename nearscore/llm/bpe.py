@@ -31,7 +31,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 BLOCK_CHARS = 1 << 20
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 WORD_SYMBOLS = 256
 
 #: Characters for which lower(), one white space class and the word pattern below agree with the library's rules.
@@ -142,6 +142,17 @@ class Decoder:
         return self._machine.decode(piece, last)
 
 
+class _Words(dict):
+    """Ids of words; those that are not there are made, and remembered by the maker."""
+
+    def __init__(self, make):
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, word: str) -> bytes:
+        return self._make(word)
+
+
 class Bpe:
     """A tokenizer read from a file of the tokenizers library (BPE on bytes, words split beforehand)."""
 
@@ -169,8 +180,7 @@ class Bpe:
         surface: dict[int, str] = {i: t for t, i in vocab.items()} | {i: t for t, i in special.items()}
         self._surface = [surface.get(i, "").encode() for i in range(max(surface) + 1)]
         self._known = [i in surface for i in range(max(surface) + 1)]
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._new, self._old = _Words(self._word), _Words(self._word)
         self._pieces: dict[str, bytes] = {}
 
     # encoding
@@ -207,7 +217,7 @@ class Bpe:
 
     def _word(self, word: str) -> bytes:
         """Of a word without white space, through both generations of the cache."""
-        if (ids := self._old.get(word)) is None:
+        if (ids := self._old.get(word) or self._new.get(word)) is None:
             parts = _WORD.findall(word) if not word.isalpha() else [word]
             if len(parts) == 1:
                 piece = word if word.isascii() else self._as_symbols(word)
@@ -220,7 +230,7 @@ class Bpe:
                 ids = b"".join(out)
         if len(word) <= 40:
             if len(self._new) >= CACHE_WORDS:
-                self._old, self._new = self._new, {}
+                self._old, self._new = self._new, _Words(self._word)
             self._new[word] = ids
         return ids
 
@@ -243,13 +253,7 @@ class Bpe:
                     end = more.start() if more else n
             block, at = text[at:end], end
             if _PLAIN.fullmatch(block):
-                words = block.lower().split()
-                get = self._new.get
-                found = [get(w) for w in words]
-                if None in found:
-                    make = self._word
-                    found = [f if f is not None else make(w) for f, w in zip(found, words)]
-                yield b"".join(found)
+                yield b"".join(map(self._new.__getitem__, block.lower().split()))
             else:
                 for piece, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(block)):
                     yield from self._piece(piece)
