@@ -6,13 +6,19 @@ one are verified and linked. All that share a variant lie within distance 1 of i
 2 of each other, so a star to the least of them links them all and no pair is lost; nothing is capped. Documents with
 equal fingerprints are one node, however many there are, and are never paired with each other.
 
-near_links() finds documents whose shingle sets have a Jaccard similarity of `similarity` or more, for which 64 bits at
-radius 2 are too narrow. It makes several short fingerprints (tables) of one document from independent bits, hashes the
-ball of each as above, and verifies what collides: first by 64 bits more that travel with the rows, inside the bucket,
-so that chance collisions are never emitted; then by all bits; then exactly, on the shingle sets. The tables' width
-follows from the number of documents (buckets hold a few rows at every size), their number from the chance that a
+near_links() connects documents whose shingle sets have a Jaccard similarity of `similarity` or more, for which 64 bits
+at radius 2 are too narrow. It makes several short fingerprints (tables) of one document from independent bits, hashes
+the ball of each as above, and verifies what collides: first by 64 bits more that travel with the rows, inside the
+bucket, so that chance collisions are never emitted; then by all bits; then exactly, on the shingle sets. The tables'
+width follows from the number of documents (buckets hold a few rows at every size), their number from the chance that a
 pair at exactly `similarity` differs in at most 2 bits in one of them: RECALL. No bucket is cut.
 
+A group of n near copies has n * n pairs, and a few links for each copy are enough to connect it. So a document is
+verified against at most NEAREST of those it collides with, the nearest by signature; and in a bucket of more than SMALL
+rows only the documents whose own fingerprint is the key look for theirs. A document whose nearest ones fail is
+tried against the documents with the most links in their components, which are likely to be what copies were made of;
+if those fail too, it is taken to have no links. Tests measure what that costs against brute force.
+
 Cases: null and empty texts, and texts of white space, have fingerprint zero, linked like any other; very long texts
 are counted in blocks of shingles; repeated rows are rows of the same component; an empty table gives an empty result.
 """
@@ -32,6 +38,9 @@ RADIUS = 2
 BLOCK = 1 << 14
 #: near_links: the least similarity, words of a shingle, and the chance to find a pair at that similarity.
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.995
+#: near_links: a document is verified against so many of those it collides with, the nearest by check bits. Rows of a
+#: bucket up to SMALL meet all others.
+NEAREST, SMALL = 16, 8
 
 
 def shingle_hashes(text: str | None, words: int):
@@ -157,50 +166,109 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, tables: in
     return map_batches(columns, rows, "id long, check long, tables array<long>")
 
 
+def bucket_pairs(key, mask, i, check, most: int):
+    """(ids, ids, differing check bits) of rows that share a key and differ in at most `most` bits.
+
+    Rows of small buckets meet all others; each pair comes from one of the buckets in which it meets, the other being
+    the key with the bits flipped in which the fingerprints differ. In a larger bucket each row whose own fingerprint is
+    the key (mask 0) gives its NEAREST.
+    """
+    import numpy as np
+
+    border = np.flatnonzero(np.r_[True, np.diff(key) != 0, True])
+    size = np.diff(border)
+    small_rows = np.repeat(size <= SMALL, size)
+    for step in range(1, min(SMALL, len(key))):
+        a = np.flatnonzero((key[step:] == key[:-step]) & small_rows[:-step])
+        if not len(a):
+            break
+        b = a + step
+        differ = mask[a] ^ mask[b]
+        here = np.where(differ == 0, mask[a] == 0, key[a] < (key[a] ^ differ))
+        d = np.bitwise_count(check[a] ^ check[b])
+        near = here & (d <= most)
+        yield i[a[near]], i[b[near]], d[near]
+    for at, n in zip(border[:-1][size > SMALL].tolist(), size[size > SMALL].tolist()):
+        rows = np.arange(at, at + n)
+        centres = rows[mask[rows] == 0]
+        for k in range(0, len(centres), 256):
+            part = centres[k : k + 256]
+            d = np.bitwise_count(check[part, None] ^ check[None, rows]).astype(np.int16)
+            d[i[part, None] == i[None, rows]] = 99
+            order = np.argpartition(d, min(NEAREST, n) - 1, axis=1)[:, :NEAREST]
+            found = np.take_along_axis(d, order, axis=1)
+            row, col = np.nonzero(found <= most)
+            yield i[part[row]], i[rows[order[row, col]]], found[row, col]
+
+
 def colliding(rows: DataFrame, most: int) -> DataFrame:
-    """u > v: ids that share a key and differ in at most `most` check bits. rows: key, id, check."""
+    """u > v: ids that share a key, as bucket_pairs() chooses them; of each id, pairs with the NEAREST by check bits.
+    rows: key, mask, id, check."""
 
-    def pairs(batches):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def within(key, i, check):
-            step = 1
-            while step < len(key) and (same := np.flatnonzero(key[step:] == key[:-step])).size:
-                near = same[np.bitwise_count(check[same] ^ check[same + step]) <= most]
-                a, b = i[near], i[near + step]
-                yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))}
-                step += 1
+        def within(*columns):
+            for a, b, d in bucket_pairs(*columns, most):
+                yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b)), "d": pa.array(d.astype(np.int32))}
 
         held = None  # rows come sorted by key; the last key may go on in the next batch
         for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view("u8")]
+            now = [batch.column(k).to_numpy() for k in range(4)]
+            now[3] = now[3].view("u8")
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             if len(held[0]) and (end := int(np.searchsorted(held[0], held[0][-1], "left"))):
                 yield from within(*(x[:end] for x in held))
                 held = [x[end:] for x in held]
-        if held is not None:
+        if held is not None and len(held[0]):
             yield from within(*held)
 
-    return map_batches(rows.repartition("key").sortWithinPartitions("key"), pairs, "u long, v long").where("u <> v").distinct()
+    pairs = map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long, d int").where("u <> v").distinct()
+    each = pairs.select(F.explode(F.array(F.struct("u", "v", "d"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "d"))).alias("p")).select("p.*")
+    each = each.withColumn("n", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).where(F.col("n") <= NEAREST)
+    return each.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def near_links(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """u > v, similarity: pairs of ids whose shingle sets have at least this Jaccard similarity."""
+    """u > v: pairs of ids whose shingle sets have at least this Jaccard similarity, enough of them to connect those that
+    such pairs connect."""
     n = df.count()
     tables, bits = tables_for(n, similarity, recall)
     sigs = cut(signatures(df, id_col, text_col, words, tables, bits))
     masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(bits)))
-    balls = sigs.select("id", "check", F.posexplode("tables").alias("t", "value")).select("id", "check", "t", "value", F.explode(masks).alias("mask"))
-    key = F.shiftleft(F.col("t").cast("long"), bits) + F.col("value").bitwiseXOR(F.col("mask"))
     p, wide = bit_chance(similarity), 64 + tables * bits
     most = lambda width: math.floor(width * p + 4.5 * math.sqrt(width * p * (1 - p)))
-    pairs = colliding(balls.select(key.alias("key"), "id", "check"), most(64))
+    balls = sigs.select("id", "check", F.posexplode("tables").alias("t", "value")).select("id", "check", "t", "value", F.explode(masks).alias("mask"))
+    key = F.shiftleft(F.col("t").cast("long"), bits) + F.col("value").bitwiseXOR(F.col("mask"))
+    check = lambda pairs: verified(df, id_col, text_col, words, similarity, sigs, pairs, most(wide))
+    tried = cut(colliding(balls.select(key.alias("key"), "mask", "id", "check"), most(64)))
+    links = check(tried)
+    return links.union(check(hub_pairs(tried, links)))
+
+
+def hub_pairs(tried: DataFrame, links: DataFrame) -> DataFrame:
+    """u > v: where a tried pair lies in two components of links, each of the two with the other component's hub, the
+    document with the most links, and both hubs. In a group of copies that is the one they were made from, or near it."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    labels = components(links)
+    hubs = labels.join(ends, "node").groupBy("label").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("hub"))
+    of = cut(labels.join(hubs, "label").select("node", "label", "hub"))
+    a, b = (of.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("hub").alias(f"hub_{x}")) for x in "uv")
+    both = tried.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v"))
+    hub_u, hub_v = F.coalesce("hub_u", "u"), F.coalesce("hub_v", "v")
+    pair = lambda x, y: F.struct(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
+    more = both.select(F.explode(F.array(pair(F.col("u"), hub_v), pair(hub_u, F.col("v")), pair(hub_u, hub_v))).alias("p")).select("p.u", "p.v")
+    return more.where("u <> v").distinct()
+
+
+def verified(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, sigs: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """Those of pairs (u, v) that differ in at most `most` bits of all and are similar enough, exactly."""
     a, b = (sigs.select(F.col("id").alias(x), F.col("check").alias(f"check_{x}"), F.col("tables").alias(f"tables_{x}")) for x in "uv")
     differing = F.bit_count(F.col("check_u").bitwiseXOR(F.col("check_v"))) + F.aggregate(
         F.zip_with("tables_u", "tables_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
-    pairs = cut(pairs.join(a, "u").join(b, "v").where(differing <= most(wide)).select("u", "v"))
+    pairs = cut(pairs.join(a, "u").join(b, "v").where(differing <= most).select("u", "v"))
     ids = small(cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), 16)
 
     def sets(batches):
@@ -212,7 +280,7 @@ def near_links(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, si
     a, b = (shingles.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
     both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("set_u", "set_v")))
     exact = F.col("shared") / (F.size("set_u") + F.size("set_v") - F.col("shared"))
-    return both.select("u", "v", exact.alias("similarity")).where(F.col("similarity") >= similarity)
+    return cut(both.where(exact >= similarity).select("u", "v"))
 
 
 def near_dedup(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
