@@ -38,8 +38,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequences and places."""
-    return packing.pack_documents(docs, "doc_id", "text", word_bpe())
+    """Pieces of at most 2048 tokens with their sequences and places. The word caches are small, as they stay in workers
+    that other stages share."""
+    return packing.pack_documents(docs, "doc_id", "text", word_bpe(), cache_words=1 << 16)
 
 
 STAGES = [

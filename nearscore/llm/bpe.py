@@ -156,9 +156,11 @@ class _Words(dict):
 class Bpe:
     """A tokenizer read from a file of the tokenizers library (BPE on bytes, words split beforehand)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
         from tokenizers import Tokenizer
 
+        self._cache_words = cache_words or CACHE_WORDS
+
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
         model = conf["model"]
@@ -200,7 +202,7 @@ class Bpe:
         """Ids of a pre-token of any length, given in byte symbols."""
         if len(piece) <= WORD_SYMBOLS:
             if (ids := self._pieces.get(piece)) is None:
-                if len(self._pieces) >= CACHE_WORDS // 4:
+                if len(self._pieces) >= self._cache_words // 4:
                     self._pieces.clear()
                 ids = self._short(piece)
                 if len(piece) <= 40:
@@ -229,7 +231,7 @@ class Bpe:
                     out.extend([known] if known else self._piece(self._as_symbols(m)))
                 ids = b"".join(out)
         if len(word) <= 40:
-            if len(self._new) >= CACHE_WORDS:
+            if len(self._new) >= self._cache_words:
                 self._old, self._new = self._new, _Words(self._word)
             self._new[word] = ids
         return ids
@@ -292,14 +294,15 @@ class Bpe:
         return "".join(self.decode_pieces([array("I", [i for i in ids if i < len(self._known) and self._known[i]]).tobytes()]))
 
 
-_loaded: dict[str, Bpe] = {}
+_loaded: dict[tuple, Bpe] = {}
 
 
-def load(path: str) -> Bpe:
-    """One tokenizer for each file in a process, with its caches."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+def load(path: str, cache_words: int | None = None) -> Bpe:
+    """One tokenizer for each file in a process, with its caches: two generations of cache_words words (by default
+    CACHE_WORDS, some 250 MB when full), which live as long as the process."""
+    if (path, cache_words) not in _loaded:
+        _loaded[path, cache_words] = Bpe(path, cache_words)
+    return _loaded[path, cache_words]
 
 
 def digests(bpe: Bpe, text: str | None) -> tuple[int, str, str]:

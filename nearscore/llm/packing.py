@@ -32,7 +32,7 @@ END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int | None = None) -> DataFrame:
     """A row for each piece of at most capacity tokens: where it starts in its document, its length and checksum."""
 
     def cut_up(b, text):
@@ -45,7 +45,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity:
         yield held
 
     def rows(batches):
-        b = bpe.load(path)
+        b = bpe.load(path, cache_words)
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -119,8 +119,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    return pack(cut(token_pieces(df, id_col, text_col, path, capacity, end_id)), capacity)
+def pack_documents(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int | None = None) -> DataFrame:
+    return pack(cut(token_pieces(df, id_col, text_col, path, capacity, end_id, cache_words)), capacity)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
