@@ -13,11 +13,13 @@ bucket, so that chance collisions are never emitted; then by all bits; then exac
 width follows from the number of documents (buckets hold a few rows at every size), their number from the chance that a
 pair at exactly `similarity` differs in at most 2 bits in one of them: RECALL. No bucket is cut.
 
-A group of n near copies has n * n pairs, and a few links for each copy are enough to connect it. So a document is
-verified against at most NEAREST of those it collides with, the nearest by signature; and in a bucket of more than SMALL
-rows only the documents whose own fingerprint is the key look for theirs. A document whose nearest ones fail is
-tried against the documents with the most links in their components, which are likely to be what copies were made of;
-if those fail too, it is taken to have no links. Tests measure what that costs against brute force.
+A group of n near copies has n * n pairs, and a few links for each copy are enough to connect it. So a first round
+verifies a document against at most NEAREST of those it collides with, the nearest by signature (in a bucket of more
+than SMALL rows only the documents whose own fingerprint is the key look for theirs), and a second one against the
+documents with the most links in their components, which are likely to be what copies were made of. The last round
+leaves nothing out: every collision, in buckets of any size, is verified unless it was tried before or its two documents
+are already connected, so that its outcome changes nothing. Documents that share a template but are below `similarity`
+are never connected, and of them all collisions are verified.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero, linked like any other; very long texts
 are counted in blocks of shingles; repeated rows are rows of the same component; an empty table gives an empty result.
@@ -38,9 +40,11 @@ RADIUS = 2
 BLOCK = 1 << 14
 #: near_links: the least similarity, words of a shingle, and the chance to find a pair at that similarity.
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.995
-#: near_links: a document is verified against so many of those it collides with, the nearest by check bits. Rows of a
-#: bucket up to SMALL meet all others.
+#: near_links, first round: a document is verified against so many of those it collides with, the nearest by check bits.
+#: Rows of a bucket up to SMALL meet all others.
 NEAREST, SMALL = 16, 8
+#: near_links, last round: buckets up to WIDE are compared together, larger ones in blocks of BLOCK_ROWS by BLOCK.
+WIDE, BLOCK_ROWS = 64, 256
 
 
 def shingle_hashes(text: str | None, words: int):
@@ -201,6 +205,69 @@ def bucket_pairs(key, mask, i, check, most: int):
             yield i[part[row]], i[rows[order[row, col]]], found[row, col]
 
 
+def other_pairs(key, mask, i, check, label, most: int):
+    """(ids, ids) of all rows that share a key, have different labels and differ in at most `most` check bits.
+
+    Each pair comes once for a table, whatever the size of its buckets: from the lesser of the keys between its
+    fingerprints, or, where these are equal, from their own.
+    """
+    import numpy as np
+
+    order = np.lexsort((label, key))
+    key, mask, i, check, label = (x[order] for x in (key, mask, i, check, label))
+    border = np.flatnonzero(np.r_[True, np.diff(key) != 0, True])
+    size = np.diff(border)
+
+    def wanted(a, b):
+        differ = mask[a] ^ mask[b]
+        here = np.where(differ == 0, mask[a] == 0, key[a] < (key[a] ^ differ))
+        return here & (label[a] != label[b]) & (np.bitwise_count(check[a] ^ check[b]) <= most)
+
+    few = np.repeat(size <= WIDE, size)
+    for step in range(1, min(WIDE, len(key))):
+        a = np.flatnonzero((key[step:] == key[:-step]) & few[:-step])
+        if not len(a):
+            break
+        a = a[wanted(a, a + step)]
+        yield i[a], i[a + step]
+    for at, n in zip(border[:-1][size > WIDE].tolist(), size[size > WIDE].tolist()):
+        end = at + n
+        after = at + np.searchsorted(label[at:end], label[at:end], "right")  # rows from here on have greater labels
+        for k in range(at, end, BLOCK_ROWS):
+            part = np.arange(k, min(k + BLOCK_ROWS, end))
+            first = after[part - at]
+            for c in range(int(first[0]), end, BLOCK):
+                others = np.arange(c, min(c + BLOCK, end))
+                row, col = np.nonzero((others[None] >= first[:, None]) & wanted(part[:, None], others[None]))
+                yield i[part[row]], i[others[col]]
+
+
+def left_over(rows: DataFrame, most: int) -> DataFrame:
+    """u > v: all ids that share a key and have different labels. rows: key, mask, id, check, label."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def within(*columns):
+            for a, b in other_pairs(*columns, most):
+                if len(a):
+                    yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))}
+
+        held = None  # rows come sorted by key; the last key may go on in the next batch
+        for batch in batches:
+            now = [batch.column(k).to_numpy() for k in range(5)]
+            now[3] = now[3].view("u8")
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if len(held[0]) and (end := int(np.searchsorted(held[0], held[0][-1], "left"))):
+                yield from within(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held is not None and len(held[0]):
+            yield from within(*held)
+
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long").distinct()
+
+
 def colliding(rows: DataFrame, most: int) -> DataFrame:
     """u > v: ids that share a key, as bucket_pairs() chooses them; of each id, pairs with the NEAREST by check bits.
     rows: key, mask, id, check."""
@@ -239,12 +306,21 @@ def near_links(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, si
     masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(bits)))
     p, wide = bit_chance(similarity), 64 + tables * bits
     most = lambda width: math.floor(width * p + 4.5 * math.sqrt(width * p * (1 - p)))
-    balls = sigs.select("id", "check", F.posexplode("tables").alias("t", "value")).select("id", "check", "t", "value", F.explode(masks).alias("mask"))
     key = F.shiftleft(F.col("t").cast("long"), bits) + F.col("value").bitwiseXOR(F.col("mask"))
+
+    def balls(rows, *more):
+        each = rows.select("id", "check", *more, F.posexplode("tables").alias("t", "value")).select("*", F.explode(masks).alias("mask"))
+        return each.select(key.alias("key"), "mask", "id", "check", *more)
+
     check = lambda pairs: verified(df, id_col, text_col, words, similarity, sigs, pairs, most(wide))
-    tried = cut(colliding(balls.select(key.alias("key"), "mask", "id", "check"), most(64)))
+    tried = cut(colliding(balls(sigs), most(64)))
     links = check(tried)
-    return links.union(check(hub_pairs(tried, links)))
+    hubs = cut(hub_pairs(tried, links))
+    links = links.union(check(hubs))
+    labels = components(links).withColumnRenamed("node", "id")
+    labelled = sigs.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rest = left_over(balls(labelled, "label"), most(64)).join(tried.union(hubs), ["u", "v"], "left_anti")
+    return links.union(check(rest))
 
 
 def hub_pairs(tried: DataFrame, links: DataFrame) -> DataFrame:

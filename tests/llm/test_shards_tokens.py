@@ -264,6 +264,38 @@ def test_a_large_group_of_near_copies_makes_few_links(spark):
     assert max(map(len, connected({(r.u, r.v) for r in links}))) >= max(map(len, connected(want))) - 1
 
 
+def test_other_pairs_are_all_pairs_at_two_bits_in_buckets_of_any_size():
+    rng = np.random.default_rng(3)
+    for n, bits in ((60, 8), (300, 6), (700, 4), (1500, 3)):
+        value, check, label = rng.integers(0, 1 << bits, n), rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, n // 3, n)
+        mask = np.r_[0, 1 << np.arange(bits)]
+        key, ids = (value[:, None] ^ mask[None]).ravel(), np.repeat(np.arange(n), bits + 1)
+        order = np.argsort(key, kind="stable")
+        columns = key[order], np.tile(mask, n)[order], ids[order], check[ids][order], label[ids][order]
+        got = Counter(p for a, b in simhash.other_pairs(*columns, 30) for p in zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
+        near = (np.bitwise_count(value[:, None] ^ value[None]) <= 2) & (np.bitwise_count(check[:, None] ^ check[None]) <= 30) & (label[:, None] != label[None])
+        assert got == Counter(zip(*(x.tolist() for x in np.nonzero(np.tril(near, -1)))))
+
+
+def template_family(members, planted, seed):
+    """Documents that share 88 of 100 words (Jaccard similarity 0.78 on five-word shingles), and copies of some of them at
+    0.82 to 0.88."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    shared = [word() for _ in range(88)]
+    rows = [(k, shared + [word() for _ in range(12)]) for k in range(members)]
+    for k in range(planted):
+        same = 91 + k % 4
+        rows.append((members + k, rows[k][1][:same] + [word() for _ in range(100 - same)]))
+    return [(k, " ".join(w)) for k, w in rows]
+
+
+def test_copies_inside_a_family_below_the_similarity_are_found(spark):
+    rows = template_family(400, 40, 1)
+    links = simhash.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text").collect()
+    assert {(r.u, r.v) for r in links} == {(400 + k, k) for k in range(40)}
+
+
 def test_near_links_equal_brute_force(spark, documents, awkward, no_rows):
     rng = random.Random(6)
     rows = [(r.doc_id, r.text) for r in documents.dropDuplicates(["text"]).limit(250).collect()]
