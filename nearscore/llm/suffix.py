@@ -23,8 +23,8 @@ whole. In the order of the steps:
    intervals hold.
 5. Repeated intervals go back to their texts, overlaps count once, and the rest of the text is kept.
 
-Blocks are known by hashes (64 bits, and 32 more for contexts), so their order among each other is not alphabetical;
-nothing here needs it. What is shuffled: 20 bytes or so for each anchor (one in 32 bytes of text), the texts that have
+Blocks are known by hashes (64 bits, and 64 more for contexts), so their order among each other is not alphabetical;
+nothing here needs it. What is shuffled: 24 bytes or so for each anchor (one in 32 bytes of text), the texts that have
 a repeat, and 126 bytes for each suffix of step 4 (16 bytes for each interval, up to 64, in large blocks). Long texts are cut into overlapping blocks. No step caps a block.
 
 Cases: null text is empty; texts under LENGTH bytes keep all; rows that repeat an id or a whole row are documents of
@@ -211,14 +211,13 @@ def known(texts: DataFrame) -> DataFrame:
             for row, at, core, context in anchor_rows(batch.column(2)):
                 if not len(at):
                     continue
-                context = (context.view("i8") >> 32).astype(np.int32)
                 sent, kind = shard_merge(core, context, passive[row].astype(np.int64))
                 of, at = number[row][sent], at[sent]
                 own = (of.view("u8") * np.uint64(GRAM_MIX) ^ at.astype(np.uint64)) * np.uint64(LAST_MIX)
                 key = np.where(kind >= IS_ALL, own, core[sent])
-                yield {"core": pa.array(key.view("i8")), "context": pa.array(context[sent]), "number": pa.array(of), "at": pa.array(at), "kind": pa.array(kind)}
+                yield {"core": pa.array(key.view("i8")), "context": pa.array(context.view("i8")[sent]), "number": pa.array(of), "at": pa.array(at), "kind": pa.array(kind)}
 
-    found = map_batches(texts.where(F.col("n_bytes") >= LENGTH).select("number", "passive", "text"), rows, "core long, context int, number long, at int, kind int")
+    found = map_batches(texts.where(F.col("n_bytes") >= LENGTH).select("number", "passive", "text"), rows, "core long, context long, number long, at int, kind int")
     kind = F.col("kind")
     block, same = W.partitionBy("core"), W.partitionBy("core", "context")
     more = found.withColumn("n", F.count(F.lit(1)).over(block)).where((F.col("n") > 1) | (kind >= IS_ALL))

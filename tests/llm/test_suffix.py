@@ -70,6 +70,31 @@ def test_documents_and_awkward_rows(documents, awkward, no_rows):
     assert suffix.remove_repeats(no_rows, "doc_id", "text").count() == 0
 
 
+def same_half_of_context(rng):
+    """Two texts that share CORE bytes from an anchor on and no more, and half of the bits of the hash of their contexts."""
+    grams = rng.integers(97, 123, (1 << 18, 8), dtype=np.uint8)
+    hashes = (grams.copy().view("<u8").ravel() * np.uint64(suffix.GRAM_MIX)) >> np.uint64(32)
+    core = np.r_[grams[hashes.argmin()], rng.integers(97, 123, suffix.CORE - 8, dtype=np.uint8)]
+    seen = {}
+    for _ in range(30):
+        texts = np.hstack([rng.integers(97, 123, (10_000, suffix.SIDE), dtype=np.uint8), np.tile(core, (10_000, 1)), rng.integers(97, 123, (10_000, suffix.SIDE), dtype=np.uint8)])
+        begin = np.arange(len(texts)) * texts.shape[1]
+        for k, h in enumerate((suffix.Sums(texts.ravel()).hashes(begin, begin + texts.shape[1]) >> np.uint64(32)).tolist()):
+            text = texts[k].tobytes().decode()
+            if h in seen and seen[h][suffix.SIDE - 1] != text[suffix.SIDE - 1]:
+                return seen[h], text
+            seen[h] = text
+
+
+@pytest.mark.parametrize("shards", [1, 2])
+def test_contexts_that_share_half_of_their_hash_are_told_apart(spark, shards):
+    texts = same_half_of_context(np.random.default_rng(5))
+    rows = [*enumerate(texts)]
+    assert brute(rows)[0][0, 263, 0, 0, hashlib.sha256(texts[0].encode()).hexdigest()] == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(shards, "doc_id")
+    assert Counter(map(tuple, suffix.spans(df, "doc_id", "text").collect())) == brute(rows)[0]
+
+
 def found(texts):
     out = Counter()
     for row, at, core, context in suffix.anchor_rows(pa.array(texts, pa.binary())):
