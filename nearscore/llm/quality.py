@@ -73,8 +73,10 @@ def train(texts: list, grades: list[int], n_grades: int, steps: int = 250, ridge
     nothing."""
     import numpy as np
 
+    if not grades:  # nothing to go by: all texts with words are of the highest grade
+        return Model(np.zeros(1 << BITS, np.float32), np.full(n_grades - 1, -np.inf))
     least = max(3, len(texts) // 1000)
-    column = np.concatenate([np.asarray(t, np.int32) for t in texts] or [np.empty(0, np.int32)])
+    column = np.concatenate([np.asarray(t, np.int32) for t in texts])
     used = np.flatnonzero(np.bincount(column, minlength=1 << BITS) >= least)
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
@@ -83,7 +85,7 @@ def train(texts: list, grades: list[int], n_grades: int, steps: int = 250, ridge
     row, column = row[column >= 0], column[column >= 0]
     y = np.asarray(grades)
     # thresholds start from the grades' shares: t0, then logarithms of the steps between
-    share = np.clip([(y <= k).mean() if len(y) else (k + 1) / n_grades for k in range(n_grades - 1)], 0.01, 0.99)
+    share = np.clip([(y <= k).mean() for k in range(n_grades - 1)], 0.01, 0.99)
     start = np.log(share / (1 - share))
     params = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -92,7 +94,7 @@ def train(texts: list, grades: list[int], n_grades: int, steps: int = 250, ridge
         return np.cumsum(np.concatenate([p[len(used) : len(used) + 1], np.exp(p[len(used) + 1 :])]))
 
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    for step in range(1, steps + 1 if len(y) else 1):
+    for step in range(1, steps + 1):
         t = np.concatenate([[-np.inf], thresholds(params), [np.inf]])
         score = np.bincount(row, params[column], len(y))
         hi, lo = sigmoid(t[y + 1] - score), sigmoid(t[y] - score)

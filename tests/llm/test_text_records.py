@@ -78,6 +78,15 @@ def test_verdicts_of_awkward_rows(spark, awkward, no_rows):
     assert rules.judge(no_rows, "doc_id", "text", rules.fit(no_rows, none)).count() == 0
 
 
+def test_without_labels_texts_with_words_are_kept(spark, awkward):
+    no_labels, of_others = (spark.createDataFrame(rows, "doc_id long, quality int, toxic int") for rows in ([], [(99, 1, 1)]))
+    for labels in (no_labels, of_others):
+        model = quality.fit(awkward, labels)
+        want = Counter((r.doc_id, bool((r.text or "").encode().split())) for r in awkward.collect())
+        assert Counter((r.id, r.kept) for r in quality.classify(awkward, "doc_id", "text", model).collect()) == want
+        assert quality.chosen(awkward, "text", model).count() == sum(n for (_, kept), n in want.items() if kept)
+
+
 def test_ordinal_gradient_orders_grades():
     texts = [[k % 7, 100 + k % 3] for k in range(210)]
     grades = [0 if k % 7 < 2 else 1 if k % 7 < 4 else 2 for k in range(210)]
