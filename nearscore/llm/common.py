@@ -37,6 +37,17 @@ def text_or_empty(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that df has no column of, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, rows, schema: str) -> DataFrame:
     """mapInArrow by a function from an iterator of record batches to dicts of lists or Arrow arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -6,45 +6,53 @@ one are verified and linked. All that share a variant lie within distance 1 of i
 2 of each other, so a star to the least of them links them all and no pair is lost; nothing is capped. Documents with
 equal fingerprints are one node, however many there are, and are never paired with each other.
 
-near_links() connects documents whose shingle sets have a Jaccard similarity of `similarity` or more, for which 64 bits
-at radius 2 are too narrow. It makes several short fingerprints (tables) of one document from independent bits, hashes
-the ball of each as above, and verifies what collides: first by 64 bits more that travel with the rows, inside the
-bucket, so that chance collisions are never emitted; then by all bits; then exactly, on the shingle sets. The tables'
-width follows from the number of documents (buckets hold a few rows at every size), their number from the chance that a
-pair at exactly `similarity` differs in at most 2 bits in one of them: RECALL. No bucket is cut.
-
-A group of n near copies has n * n pairs, and a few links for each copy are enough to connect it. So a first round
-verifies a document against at most NEAREST of those it collides with, the nearest by signature (in a bucket of more
-than SMALL rows only the documents whose own fingerprint is the key look for theirs), and a second one against the
-documents with the most links in their components, which are likely to be what copies were made of. The last round
-leaves nothing out: every collision, in buckets of any size, is verified unless it was tried before or its two documents
-are already connected, so that its outcome changes nothing. Documents that share a template but are below `similarity`
-are never connected, and of them all collisions are verified.
+near_classes() connects documents whose shingle sets have a Jaccard similarity of `similarity` or more, for which 64 bits
+at radius 2 are too narrow. It makes several short fingerprints (tables) of one text from independent bits, hashes the ball
+of each as above, and verifies what collides: first by some 120 more bits that travel with the rows, inside the bucket, so
+that chance collisions are never emitted; then by all bits; then exactly, on the shingle sets. The tables' width follows
+from the number of documents (buckets hold a few rows at every size), their number from the chance that a pair at exactly
+`similarity` differs in at most 2 bits in one of them: RECALL. (Their width stops at 40 bits, which is enough for 2**37
+documents; beyond, buckets grow with the corpus.) Nothing is capped:
+
+1. Equal texts are one node. In the first tables each row names one partner in its bucket, the one with most collisions
+   there, so a group of copies meets what it was made from: a row for each row of a bucket, never a row for each pair. Tried
+   pairs that lie in two components are tried again with the hubs, the best-linked nodes, of both.
+2. In all tables, nodes that still collide with a node of another component are open. A pair shares no more
+   shingles than either has in common with all other open nodes, which gives each a largest set that it could be similar
+   enough to (Corpus.reach). It is exact, and leaves few of a family that shares a template just below the similarity.
+3. Open nodes with a reach name partners in all tables; then all collisions of open nodes in different components, within
+   reach of each other, are verified, whatever the size of the bucket.
+
+Buckets over HOT rows are split with salts (Balls). What remains quadratic is exact verification of texts that are nearly
+similar enough, in different components, and made of each other's shingles.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero, linked like any other; very long texts
-are counted in blocks of shingles; repeated rows are rows of the same component; an empty table gives an empty result.
+are counted in blocks of shingles; repeated rows are rows of the same component; ties (equal fingerprints, ids or degrees) go
+to the least id; an empty table gives an empty result; extra columns are not read, and near_dedup() returns them as they
+were, whatever their names. near_classes() leaves out rows without an id or a word.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearscore.llm.common import components, cut, map_batches, small, table
+from nearscore.llm.common import components, cut, free_names, map_batches, small, table
 
 SEED = 42
 RADIUS = 2
 BLOCK = 1 << 14
 #: near_links: the least similarity, words of a shingle, and the chance to find a pair at that similarity.
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.995
-#: near_links, first round: a document is verified against so many of those it collides with, the nearest by check bits.
-#: Rows of a bucket up to SMALL meet all others.
-NEAREST, SMALL = 16, 8
-#: near_links, last round: buckets up to WIDE are compared together, larger ones in blocks of BLOCK_ROWS by BLOCK.
-WIDE, BLOCK_ROWS = 64, 256
+#: A pair at the similarity passes a look at n of its bits unless it differs in this many standard deviations more.
+SIGMAS = 3.5
+#: Tables of the first round; pairs in buckets up to WIDE rows are found together, in larger ones by ROWS rows at a time;
+#: buckets over HOT rows are split. Keys have less than KEY_BITS bits, salts the rest.
+FIRST, WIDE, ROWS, HOT, KEY_BITS, SEEN = 2, 64, 256, 2048, 46, 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int):
@@ -115,7 +123,7 @@ def bit_chance(similarity: float) -> float:
 
 def tables_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """Number of tables and their width in bits for n documents."""
-    bits, p = min(40, max(16, math.ceil(math.log2(max(n, 2))) + 2)), bit_chance(similarity)
+    bits, p = min(40, max(16, math.ceil(math.log2(max(n, 2))) + 3)), bit_chance(similarity)
     found = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(RADIUS + 1))
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found))), bits
 
@@ -154,217 +162,332 @@ def signature(shingles, tables: int, bits: int) -> tuple[int, list[int]]:
     return check, [int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little") for row in rest]
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, words: int, tables: int, bits: int) -> DataFrame:
-    """id, check and tables of every row with an id and a word."""
+def signatures(texts: DataFrame, words: int, tables: int, bits: int) -> DataFrame:
+    """id, sha (of the text), size (of the shingle set), check and tables of every row of texts (id, text) with a word."""
 
     def rows(batches):
         for batch in batches:
-            out = {"id": [], "check": [], "tables": []}
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if len(s := shingle_set(t.as_py(), words)):
-                    for name, v in zip(out, (i, *signature(s, tables, bits))):
+            out = {"id": [], "sha": [], "size": [], "check": [], "tables": []}
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(s := shingle_set(t, words)):
+                    for name, v in zip(out, (i, hashlib.sha256(t.encode()).digest(), len(s), *signature(s, tables, bits))):
                         out[name].append(v)
             yield out
 
-    columns = df.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text").where("id IS NOT NULL")
-    return map_batches(columns, rows, "id long, check long, tables array<long>")
+    return map_batches(texts, rows, "id long, sha binary, size long, check long, tables array<long>")
 
 
-def bucket_pairs(key, mask, i, check, most: int):
-    """(ids, ids, differing check bits) of rows that share a key and differ in at most `most` bits.
+class Buckets:
+    """Pairs of rows that share a key, over columns sorted by key: key, mask, id, check, other, label and, if given, size,
+    reach and tables.
 
-    Rows of small buckets meet all others; each pair comes from one of the buckets in which it meets, the other being
-    the key with the bits flipped in which the fingerprints differ. In a larger bucket each row whose own fingerprint is
-    the key (mask 0) gives its NEAREST.
+    A pair counts where its labels differ, its bits in check and other differ in at most `most` places, and neither set is
+    larger than the other's reach. Each pair of a table comes once: from the key of two equal fingerprints, or else from
+    the lesser of the keys that lie between its two; with `tables` given, only from the first table in which it collides,
+    and only if it differs in at most `most_of_all` of all bits.
     """
-    import numpy as np
 
-    border = np.flatnonzero(np.r_[True, np.diff(key) != 0, True])
-    size = np.diff(border)
-    small_rows = np.repeat(size <= SMALL, size)
-    for step in range(1, min(SMALL, len(key))):
-        a = np.flatnonzero((key[step:] == key[:-step]) & small_rows[:-step])
-        if not len(a):
-            break
-        b = a + step
-        differ = mask[a] ^ mask[b]
-        here = np.where(differ == 0, mask[a] == 0, key[a] < (key[a] ^ differ))
-        d = np.bitwise_count(check[a] ^ check[b])
-        near = here & (d <= most)
-        yield i[a[near]], i[b[near]], d[near]
-    for at, n in zip(border[:-1][size > SMALL].tolist(), size[size > SMALL].tolist()):
-        rows = np.arange(at, at + n)
-        centres = rows[mask[rows] == 0]
-        for k in range(0, len(centres), 256):
-            part = centres[k : k + 256]
-            d = np.bitwise_count(check[part, None] ^ check[None, rows]).astype(np.int16)
-            d[i[part, None] == i[None, rows]] = 99
-            order = np.argpartition(d, min(NEAREST, n) - 1, axis=1)[:, :NEAREST]
-            found = np.take_along_axis(d, order, axis=1)
-            row, col = np.nonzero(found <= most)
-            yield i[part[row]], i[rows[order[row, col]]], found[row, col]
-
-
-def other_pairs(key, mask, i, check, label, most: int):
-    """(ids, ids) of all rows that share a key, have different labels and differ in at most `most` check bits.
-
-    Each pair comes once for a table, whatever the size of its buckets: from the lesser of the keys between its
-    fingerprints, or, where these are equal, from their own.
-    """
-    import numpy as np
+    def __init__(self, columns, bits: int, most: int, most_of_all: int):
+        import numpy as np
+
+        self.key, self.mask, self.id, self.check, self.other, self.label, *self.more = columns
+        self.bits, self.most, self.most_of_all = bits, most, most_of_all
+        self.border = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1], True])
+
+    def _wanted(self, a, b):
+        import numpy as np
+
+        differ = self.mask[a] ^ self.mask[b]
+        here = np.where(differ == 0, self.mask[a] == 0, self.key[a] < (self.key[a] ^ differ)) & (self.label[a] != self.label[b])
+        here &= np.bitwise_count(self.check[a] ^ self.check[b]).astype(np.int16) + np.bitwise_count(self.other[a] ^ self.other[b]) <= self.most
+        if self.more:
+            size, reach = self.more[:2]
+            here &= (size[a] <= reach[b]) & (size[b] <= reach[a])
+        return here
+
+    def _first(self, a, b):
+        """Those of pairs that collide in no earlier table and are near in all bits."""
+        import numpy as np
+
+        if not self.more or not len(a):
+            return a, b
+        tables = self.more[2]
+        d = np.bitwise_count(tables[a] ^ tables[b]).astype(np.int64)
+        t = (self.key[a] & ((1 << KEY_BITS) - 1)) >> self.bits
+        earlier = ((d <= RADIUS) & (np.arange(tables.shape[1])[None] < t[:, None])).any(axis=1)
+        keep = ~earlier & (d.sum(axis=1) + np.bitwise_count(self.check[a] ^ self.check[b]) <= self.most_of_all)
+        return a[keep], b[keep]
+
+    def pairs(self):
+        """Index arrays (a, b): all pairs of small buckets together, then those of each larger one."""
+        import numpy as np
+
+        size = np.diff(self.border)
+        few, found = np.repeat(size <= WIDE, size), [(np.empty(0, np.int64),) * 2]
+        for step in range(1, min(WIDE, len(self.key))):
+            a = np.flatnonzero((self.key[step:] == self.key[:-step]) & few[:-step])
+            if not len(a):
+                break
+            a = a[self._wanted(a, a + step)]
+            found.append((a, a + step))
+        yield self._first(*map(np.concatenate, zip(*found)))
+        for at, n in zip(self.border[:-1][size > WIDE].tolist(), size[size > WIDE].tolist()):
+            found = [(np.empty(0, np.int64),) * 2]
+            for k in range(at, at + n, ROWS):
+                part, others = np.arange(k, min(k + ROWS, at + n)), np.arange(k, at + n)
+                row, col = np.nonzero((others[None] > part[:, None]) & self._wanted(part[:, None], others[None]))
+                found.append((part[row], others[col]))
+            yield self._first(*map(np.concatenate, zip(*found)))
+
+    def partners(self):
+        """(ids, ids): of every row with pairs, its pair with the row that has the most. Hubs attract: copies meet what
+        they were made from."""
+        import numpy as np
+
+        for a, b in self.pairs():
+            if len(a):
+                one, two = np.r_[a, b], np.r_[b, a]
+                degree = np.bincount(one, minlength=len(self.key))
+                order = np.lexsort((self.id[two], -degree[two], one))
+                first = order[np.r_[True, one[order][1:] != one[order][:-1]]]
+                yield self.id[one[first]], self.id[two[first]]
+
+    def all(self):
+        for a, b in self.pairs():
+            yield self.id[a], self.id[b]
+
+    def paired(self):
+        """ids of rows with pairs, twice."""
+        import numpy as np
+
+        for a, b in self.pairs():
+            ids = np.unique(np.r_[self.id[a], self.id[b]])
+            yield ids, ids
 
-    order = np.lexsort((label, key))
-    key, mask, i, check, label = (x[order] for x in (key, mask, i, check, label))
-    border = np.flatnonzero(np.r_[True, np.diff(key) != 0, True])
-    size = np.diff(border)
-
-    def wanted(a, b):
-        differ = mask[a] ^ mask[b]
-        here = np.where(differ == 0, mask[a] == 0, key[a] < (key[a] ^ differ))
-        return here & (label[a] != label[b]) & (np.bitwise_count(check[a] ^ check[b]) <= most)
-
-    few = np.repeat(size <= WIDE, size)
-    for step in range(1, min(WIDE, len(key))):
-        a = np.flatnonzero((key[step:] == key[:-step]) & few[:-step])
-        if not len(a):
-            break
-        a = a[wanted(a, a + step)]
-        yield i[a], i[a + step]
-    for at, n in zip(border[:-1][size > WIDE].tolist(), size[size > WIDE].tolist()):
-        end = at + n
-        after = at + np.searchsorted(label[at:end], label[at:end], "right")  # rows from here on have greater labels
-        for k in range(at, end, BLOCK_ROWS):
-            part = np.arange(k, min(k + BLOCK_ROWS, end))
-            first = after[part - at]
-            for c in range(int(first[0]), end, BLOCK):
-                others = np.arange(c, min(c + BLOCK, end))
-                row, col = np.nonzero((others[None] >= first[:, None]) & wanted(part[:, None], others[None]))
-                yield i[part[row]], i[others[col]]
-
-
-def left_over(rows: DataFrame, most: int) -> DataFrame:
-    """u > v: all ids that share a key and have different labels. rows: key, mask, id, check, label."""
+
+def in_buckets(rows: DataFrame, bits: int, most: int, most_of_all: int, what: str) -> DataFrame:
+    """u >= v: what Buckets finds (partners, all or paired) in rows with its columns."""
+    n = len(rows.columns)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def within(*columns):
-            for a, b in other_pairs(*columns, most):
-                if len(a):
+        seen, n_seen = [], 0
+
+        def within(columns):
+            nonlocal seen, n_seen
+            for a, b in getattr(Buckets(columns, bits, most, most_of_all), what)():
+                if what != "paired":
                     yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))}
+                    continue
+                seen.append(a)  # each once a task, or once in a while
+                n_seen += len(a)
+                if n_seen >= SEEN:
+                    yield once()
+
+        def once():
+            nonlocal seen, n_seen
+            ids = pa.array(np.unique(np.concatenate(seen)))
+            seen, n_seen = [], 0
+            return {"u": ids, "v": ids}
 
         held = None  # rows come sorted by key; the last key may go on in the next batch
         for batch in batches:
-            now = [batch.column(k).to_numpy() for k in range(5)]
+            if not batch.num_rows:
+                continue
+            now = [batch.column(k).to_numpy() for k in range(min(n, 8))]
             now[3] = now[3].view("u8")
+            if n > 8:
+                now.append(batch.column(8).flatten().to_numpy().reshape(batch.num_rows, -1))
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            if len(held[0]) and (end := int(np.searchsorted(held[0], held[0][-1], "left"))):
-                yield from within(*(x[:end] for x in held))
+            if end := int(np.searchsorted(held[0], held[0][-1], "left")):
+                yield from within([x[:end] for x in held])
                 held = [x[end:] for x in held]
         if held is not None and len(held[0]):
-            yield from within(*held)
+            yield from within(held)
+        if seen:
+            yield once()
 
     return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long").distinct()
 
 
-def colliding(rows: DataFrame, most: int) -> DataFrame:
-    """u > v: ids that share a key, as bucket_pairs() chooses them; of each id, pairs with the NEAREST by check bits.
-    rows: key, mask, id, check."""
+class Balls:
+    """The balls of all fingerprints of nodes (id, size, check, tables), as rows with a key.
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+    Buckets of more than HOT rows are split: the key gets a salt, and rows that all others of the bucket have to meet go
+    to every part. A bucket can only be as large as that if one of its bits + 1 fingerprints has its share of HOT, so these are
+    found by counting fingerprints, not variants.
+    """
 
-        def within(*columns):
-            for a, b, d in bucket_pairs(*columns, most):
-                yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b)), "d": pa.array(d.astype(np.int32))}
+    def __init__(self, nodes: DataFrame, tables: int, bits: int, hot_rows: int = 0):
+        self.bits, hot_rows = bits, hot_rows or HOT
+        self.others = min(tables - 1, 63 // bits)
+        self.masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(bits)))
+        own = nodes.select("id", F.posexplode("tables").alias("t", "value"))
+        heavy = own.groupBy("t", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where(F.col("n") > hot_rows // (bits + 1))
+        keys = cut(heavy).select("t", "value", "n", "rep", F.explode(self.masks).alias("mask")).select(self._key("t", "value", F.col("mask")), "n", "rep")
+        hot = keys.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "rep"))["rep"].alias("rep")).where(F.col("n") > hot_rows)
+        self.hot = cut(hot.select("key", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"), "rep"))
+        self.any_hot = not self.hot.isEmpty()
+
+    def _key(self, t: str, value: str, mask):
+        return (F.shiftleft(F.col(t).cast("long"), self.bits) + F.col(value).bitwiseXOR(mask)).alias("key")
+
+    def in_hot(self, nodes: DataFrame) -> DataFrame:
+        """id of nodes with a row in a bucket that is split."""
+        each = nodes.select("id", F.posexplode("tables").alias("t", "value")).select("id", "t", "value", F.explode(self.masks).alias("mask"))
+        return each.select("id", self._key("t", "value", F.col("mask"))).join(small(self.hot.select("key"), 16), "key", "left_semi").select("id")
+
+    def rows(self, nodes: DataFrame, tables: int | None = None) -> DataFrame:
+        """The columns of Buckets for nodes, of the first so many tables. Where a bucket is split, the rows whose
+        label is not that of its representative go to every part, or the representative alone as long as labels are ids."""
+        more = ["label", "size", "reach", "tables"] if "reach" in nodes.columns else ["label"] if "label" in nodes.columns else []
+        part = F.slice("tables", 1, tables) if tables else F.col("tables")
+        each = nodes.select("id", "check", "tables", *more[:3], F.posexplode(part).alias("t", "value"))
+        # 64 bits more of a row are those of the tables that follow its own
+        other = F.lit(0).cast("long")
+        for k in range(self.others):
+            other = other.bitwiseOR(F.shiftleft(F.element_at("tables", F.pmod(F.col("t") + 1 + k, F.size("tables")) + 1), self.bits * k))
+        each = each.select("id", "check", other.alias("other"), *more, "t", "value").select("*", F.explode(self.masks).alias("mask"))
+        each = each.select(self._key("t", "value", F.col("mask")), "mask", "id", "check", "other", *more)
+        label = F.col("label") if "label" in more else F.col("id").alias("label")
+        if not self.any_hot:
+            return each.select("key", "mask", "id", "check", "other", label, *more[1:])
+        hot = self.hot
+        if "label" in more:  # the representatives' labels
+            hot = cut(hot.join(nodes.select(F.col("id").alias("rep"), F.col("label").alias("of")), "rep", "left"))
+            everywhere = ~F.col("label").eqNullSafe(F.col("of"))
+        else:
+            everywhere = F.col("id") == F.col("rep")
+        salt = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(everywhere, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(salt))
+        spread = each.join(small(hot, 40), "key", "left").withColumn("salt", F.explode(parts))
+        key = (F.col("key") + F.shiftleft(F.col("salt").cast("long"), KEY_BITS)).alias("key")
+        return spread.select(key, "mask", "id", "check", "other", label, *more[1:])
 
-        held = None  # rows come sorted by key; the last key may go on in the next batch
-        for batch in batches:
-            now = [batch.column(k).to_numpy() for k in range(4)]
-            now[3] = now[3].view("u8")
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            if len(held[0]) and (end := int(np.searchsorted(held[0], held[0][-1], "left"))):
-                yield from within(*(x[:end] for x in held))
-                held = [x[end:] for x in held]
-        if held is not None and len(held[0]):
-            yield from within(*held)
-
-    pairs = map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long, d int").where("u <> v").distinct()
-    each = pairs.select(F.explode(F.array(F.struct("u", "v", "d"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "d"))).alias("p")).select("p.*")
-    each = each.withColumn("n", F.row_number().over(W.partitionBy("u").orderBy("d", "v"))).where(F.col("n") <= NEAREST)
-    return each.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def near_links(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """u > v: pairs of ids whose shingle sets have at least this Jaccard similarity, enough of them to connect those that
-    such pairs connect."""
-    n = df.count()
-    tables, bits = tables_for(n, similarity, recall)
-    sigs = cut(signatures(df, id_col, text_col, words, tables, bits))
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(bits)))
-    p, wide = bit_chance(similarity), 64 + tables * bits
-    most = lambda width: math.floor(width * p + 4.5 * math.sqrt(width * p * (1 - p)))
-    key = F.shiftleft(F.col("t").cast("long"), bits) + F.col("value").bitwiseXOR(F.col("mask"))
-
-    def balls(rows, *more):
-        each = rows.select("id", "check", *more, F.posexplode("tables").alias("t", "value")).select("*", F.explode(masks).alias("mask"))
-        return each.select(key.alias("key"), "mask", "id", "check", *more)
-
-    check = lambda pairs: verified(df, id_col, text_col, words, similarity, sigs, pairs, most(wide))
-    tried = cut(colliding(balls(sigs), most(64)))
-    links = check(tried)
-    hubs = cut(hub_pairs(tried, links))
-    links = links.union(check(hubs))
-    labels = components(links).withColumnRenamed("node", "id")
-    labelled = sigs.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = left_over(balls(labelled, "label"), most(64)).join(tried.union(hubs), ["u", "v"], "left_anti")
-    return links.union(check(rest))
-
-
-def hub_pairs(tried: DataFrame, links: DataFrame) -> DataFrame:
+
+def hub_pairs(tried: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """u > v: where a tried pair lies in two components of links, each of the two with the other component's hub, the
     document with the most links, and both hubs. In a group of copies that is the one they were made from, or near it."""
     ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    labels = components(links)
     hubs = labels.join(ends, "node").groupBy("label").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("hub"))
     of = cut(labels.join(hubs, "label").select("node", "label", "hub"))
     a, b = (of.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("hub").alias(f"hub_{x}")) for x in "uv")
     both = tried.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v"))
     hub_u, hub_v = F.coalesce("hub_u", "u"), F.coalesce("hub_v", "v")
     pair = lambda x, y: F.struct(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-    more = both.select(F.explode(F.array(pair(F.col("u"), hub_v), pair(hub_u, F.col("v")), pair(hub_u, hub_v))).alias("p")).select("p.u", "p.v")
+    more = both.select(F.explode(F.array_distinct(F.array(pair(F.col("u"), hub_v), pair(hub_u, F.col("v")), pair(hub_u, hub_v)))).alias("p")).select("p.u", "p.v")
     return more.where("u <> v").distinct()
 
 
-def verified(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, sigs: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """Those of pairs (u, v) that differ in at most `most` bits of all and are similar enough, exactly."""
-    a, b = (sigs.select(F.col("id").alias(x), F.col("check").alias(f"check_{x}"), F.col("tables").alias(f"tables_{x}")) for x in "uv")
-    differing = F.bit_count(F.col("check_u").bitwiseXOR(F.col("check_v"))) + F.aggregate(
-        F.zip_with("tables_u", "tables_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    pairs = cut(pairs.join(a, "u").join(b, "v").where(differing <= most).select("u", "v"))
-    ids = small(cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()), 16)
-
-    def sets(batches):
-        for batch in batches:
-            yield {"id": batch.column(0), "shingles": [shingle_set(t.as_py(), words).view("i8").tolist() for t in batch.column(1)]}
-
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id")
-    shingles = cut(map_batches(texts, sets, "id long, shingles array<long>"))
-    a, b = (shingles.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
-    both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("set_u", "set_v")))
-    exact = F.col("shared") / (F.size("set_u") + F.size("set_v") - F.col("shared"))
-    return cut(both.where(exact >= similarity).select("u", "v"))
+class Corpus:
+    """Distinct texts with words as nodes: their signatures, and their shingle sets when asked for."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, recall: float):
+        self.words, self.similarity = words, similarity
+        self.texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL")
+        self.tables, self.bits = tables_for(df.count(), similarity, recall)
+        self.docs = cut(signatures(self.texts, words, self.tables, self.bits))
+        # equal texts have equal signatures and are one node, however many rows have them
+        classes = self.docs.groupBy("sha", "size", "check", "tables").agg(F.min("id").alias("least_id"))
+        self.nodes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+
+    def most(self, width: int) -> int:
+        """Bits out of `width` in which a pair at the similarity differs at most; one in 4,000 such pairs differs in more."""
+        p = bit_chance(self.similarity)
+        return math.floor(width * p + SIGMAS * math.sqrt(width * p * (1 - p)))
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id and shingles of nodes. ids: materialised."""
+        words = self.words
+
+        def rows(batches):
+            for batch in batches:
+                yield {"id": batch.column(0), "shingles": [shingle_set(t.as_py(), words).view("i8").tolist() for t in batch.column(1)]}
+
+        wanted = small(cut(self.nodes.join(small(ids, 16), "id").select("sha", "id", "least_id")), 64)
+        # one row of each text: the one with its least id (a repeated row gives its set twice, which distinct ids undo)
+        texts = self.texts.withColumnRenamed("id", "least_id").withColumn("sha", F.unhex(F.sha2("text", 256))).join(wanted, ["sha", "least_id"])
+        return map_batches(texts.select("id", "text"), rows, "id long, shingles array<long>")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (u, v) that are similar enough, exactly, after a look at all bits."""
+        a, b = (self.nodes.select(F.col("id").alias(x), F.col("check").alias(f"check_{x}"), F.col("tables").alias(f"tables_{x}")) for x in "uv")
+        differing = F.bit_count(F.col("check_u").bitwiseXOR(F.col("check_v"))) + F.aggregate(
+            F.zip_with("tables_u", "tables_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+        )
+        pairs = cut(pairs.join(a, "u").join(b, "v").where(differing <= self.most(64 + self.tables * self.bits)).select("u", "v"))
+        sets = cut(self.sets(cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())))
+        a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
+        both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("set_u", "set_v")))
+        exact = F.col("shared") / (F.size("set_u") + F.size("set_v") - F.col("shared"))
+        return cut(both.where(exact >= self.similarity).select("u", "v").distinct())
+
+    def labelled(self, links: DataFrame) -> DataFrame:
+        """nodes with the label of their component, their own id if they have no link."""
+        labels = components(links).withColumnRenamed("node", "id")
+        return self.nodes.join(small(labels, 24), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    def reach(self, ids: DataFrame) -> DataFrame:
+        """id and reach of nodes: the largest set with which they could be similar enough, if all the shingles that they
+        have in common with any other of these nodes were in it. Only nodes that can reach a set as small as they allow.
+
+        Sets of a and b shingles at a similarity s or more share at least s / (1 + s) * (a + b), and a node cannot
+        share more than it has in common with all others; so b is at most common * (1 + s) / s - a."""
+        s = self.similarity
+        each = cut(self.sets(ids)).select("id", F.explode("shingles").alias("shingle"))
+        several = cut(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"))
+        common = each.join(several, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("common"))
+        reach = F.floor(F.col("common") * ((1 + s) / s) - F.col("size") + 1e-6).cast("long")
+        out = common.join(self.nodes.select("id", "size"), "id").withColumn("reach", reach)
+        return cut(out.where(F.col("reach") >= F.floor(F.col("size") * s)).select("id", "reach"))
+
+
+def near_links(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
+    """u > v: pairs of nodes whose shingle sets have at least the similarity, enough of them to connect all nodes that such
+    pairs connect. The module's text tells of the rounds."""
+    nodes, balls = corpus.nodes, Balls(corpus.nodes, corpus.tables, corpus.bits, hot_rows)
+    most, most_of_all = corpus.most(64 + balls.others * corpus.bits), corpus.most(64 + corpus.tables * corpus.bits)
+    find = lambda rows, what: in_buckets(rows, corpus.bits, most, most_of_all, what)
+    # 1: partners in a few tables, then hubs
+    tried = cut(find(balls.rows(nodes, FIRST), "partners"))
+    links = corpus.verified(tried)
+    hubs = cut(hub_pairs(tried, links, components(links)).join(tried, ["u", "v"], "left_anti"))
+    links, tried = cut(links.union(corpus.verified(hubs))), tried.union(hubs)
+    # 2: nodes with collisions outside their component, and of these the ones that can be similar enough to any other
+    labelled = cut(corpus.labelled(links))
+    open_ = find(balls.rows(labelled), "paired").select(F.col("u").alias("id"))
+    open_ = open_.union(balls.in_hot(labelled)).distinct() if balls.any_hot else open_
+    reach = small(corpus.reach(cut(open_)), 24)
+    # 3: their partners in all tables, then all collisions that are left
+    partners = find(balls.rows(cut(labelled.join(reach, "id"))), "partners")
+    partners = cut(partners.join(tried, ["u", "v"], "left_anti"))
+    links, tried = cut(links.union(corpus.verified(partners))), tried.union(partners)
+    rest = find(balls.rows(cut(corpus.labelled(links).join(reach, "id"))), "all")
+    return links.union(corpus.verified(cut(rest.join(tried, ["u", "v"], "left_anti"))))
+
+
+def near_classes(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, hot_rows: int = 0) -> DataFrame:
+    """id, sha (of the text, binary) and class_id (the least id of those that links connect, itself included) of every row
+    with an id and a word."""
+    corpus = Corpus(df, id_col, text_col, words, similarity, recall)
+    labels = components(near_links(corpus, hot_rows)).withColumnRenamed("node", "id")
+    nodes = cut(corpus.nodes.join(small(labels, 24), "id", "left").select("sha", "least_id", F.coalesce("label", "id").alias("label")))
+    classes = nodes.groupBy("label").agg(F.min("least_id").alias("class_id"))
+    of = cut(nodes.join(classes, "label").select("sha", "class_id"))
+    return corpus.docs.select("id", "sha").join(of, "sha").select("id", "sha", "class_id")
 
 
 def near_dedup(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """df without near copies: of each group that links connect, the row with the least id stays. Rows without an id or
-    a word stay; rows that share an id are one document."""
-    labels = components(near_links(df, id_col, text_col, words, similarity))
-    gone = small(cut(labels.where("node <> label").select(F.col("node").alias("__gone"))), 16)
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """df without near copies, all columns as they were: of each class the rows with its least id stay. Of rows that share
+    that id but not the text, the ones in the class stay too, as rows are told apart by id and text. Rows without an id or
+    a word stay."""
+    classes = near_classes(df, id_col, text_col, words, similarity)
+    key, sha = free_names(df, "key", "sha")
+    gone = small(cut(classes.where("id <> class_id").select(F.col("id").alias(key), F.col("sha").alias(sha)).distinct()), 64)
+    text = F.unhex(F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256))
+    return df.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col(key)) & (text == F.col(sha)), "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

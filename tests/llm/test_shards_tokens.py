@@ -253,28 +253,73 @@ def connected(links):
     return [*groups.values()]
 
 
-def test_a_large_group_of_near_copies_makes_few_links(spark):
+def shingle_sets(rows):
+    return {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
+
+
+def all_links(sets):
+    return {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0}
+
+
+def classes_of(df, **more):
+    out = defaultdict(set)
+    for r in simhash.near_classes(df, "doc_id", "text", **more).collect():
+        out[r.class_id].add(r.id)
+    assert all(c == min(ids) for c, ids in out.items())
+    return [g for g in out.values() if len(g) > 1]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def merges(groups):
+    return sum(map(len, groups)) - len(groups)
+
+
+def changed(rng, base, share, mark):
+    return " ".join(w if rng.random() > share else f"{mark}{k}" for k, w in enumerate(base))
+
+
+@pytest.mark.parametrize("hot_rows", [0, 40])
+def test_a_large_group_of_near_copies(spark, hot_rows):
+    """Also with buckets that are split."""
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
-    rows = [(k, " ".join(w if rng.random() > 0.01 else f"x{k}" for w in base)) for k in range(400)]
-    links = simhash.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text").collect()
-    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
-    want = {(a, b) for a in range(400) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert len(want) > 30_000 and len(links) < 400 * 20
-    assert max(map(len, connected({(r.u, r.v) for r in links}))) >= max(map(len, connected(want))) - 1
+    rows = [(k, changed(rng, base, 0.01, f"x{k}")) for k in range(400)]
+    assert len(all_links(shingle_sets(rows))) > 30_000
+    want, got = connected(all_links(shingle_sets(rows))), classes_of(frame(spark, rows), hot_rows=hot_rows)
+    assert merges(got) >= merges(want) - 1 and len(got) == len(want) == 1
+
+
+def test_groups_around_the_similarity(spark):
+    """Six groups of texts at about 0.8 from each other, where hubs link few: every merge of all pairs' links is found."""
+    rng, rows = random.Random(12), []
+    for g in range(6):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+        rows += [(1000 * g + k, changed(rng, base, 0.01 + 0.002 * (k % 8), f"y{g}x{k}")) for k in range(130)]
+    want, got = connected(all_links(shingle_sets(rows))), classes_of(frame(spark, rows))
+    assert all(any(g <= w for w in want) for g in got)
+    assert merges(want) > 50 and merges(got) == merges(want)
 
 
-def test_other_pairs_are_all_pairs_at_two_bits_in_buckets_of_any_size():
+def test_bucket_pairs_are_all_pairs_at_two_bits():
     rng = np.random.default_rng(3)
     for n, bits in ((60, 8), (300, 6), (700, 4), (1500, 3)):
-        value, check, label = rng.integers(0, 1 << bits, n), rng.integers(0, 1 << 64, n, dtype=np.uint64), rng.integers(0, n // 3, n)
+        value, label = rng.integers(0, 1 << bits, n), rng.integers(0, n // 3, n)
+        check, other = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for _ in range(2))
         mask = np.r_[0, 1 << np.arange(bits)]
         key, ids = (value[:, None] ^ mask[None]).ravel(), np.repeat(np.arange(n), bits + 1)
         order = np.argsort(key, kind="stable")
-        columns = key[order], np.tile(mask, n)[order], ids[order], check[ids][order], label[ids][order]
-        got = Counter(p for a, b in simhash.other_pairs(*columns, 30) for p in zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
-        near = (np.bitwise_count(value[:, None] ^ value[None]) <= 2) & (np.bitwise_count(check[:, None] ^ check[None]) <= 30) & (label[:, None] != label[None])
-        assert got == Counter(zip(*(x.tolist() for x in np.nonzero(np.tril(near, -1)))))
+        columns = [key[order], np.tile(mask, n)[order], ids[order], check[ids][order], other[ids][order], label[ids][order]]
+        found = Counter(p for a, b in simhash.Buckets(columns, bits, 62, 0).all() for p in zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
+        differ = lambda x: np.bitwise_count(x[:, None] ^ x[None]).astype(int)
+        near = (differ(value) <= 2) & (differ(check) + differ(other) <= 62) & (label[:, None] != label[None])
+        assert found == Counter(zip(*(x.tolist() for x in np.nonzero(np.tril(near, -1)))))
+        paired = {i for a, _ in simhash.Buckets(columns, bits, 62, 0).paired() for i in a.tolist()}
+        assert paired == {i for p in found for i in p}
+        partners = [*simhash.Buckets(columns, bits, 62, 0).partners()]
+        assert {i for a, _ in partners for i in a.tolist()} == paired and sum(len(a) for a, _ in partners) <= len(key)
 
 
 def template_family(members, planted, seed):
@@ -290,13 +335,21 @@ def template_family(members, planted, seed):
     return [(k, " ".join(w)) for k, w in rows]
 
 
-def test_copies_inside_a_family_below_the_similarity_are_found(spark):
-    rows = template_family(400, 40, 1)
-    links = simhash.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text").collect()
-    assert {(r.u, r.v) for r in links} == {(400 + k, k) for k in range(40)}
+@pytest.mark.parametrize("hot_rows", [0, 64])
+def test_copies_inside_a_family_below_the_similarity_are_found(spark, hot_rows):
+    got = classes_of(frame(spark, template_family(600, 60, 1)), hot_rows=hot_rows)
+    assert sorted(map(sorted, got)) == [[k, 600 + k] for k in range(60)]
 
 
-def test_near_links_equal_brute_force(spark, documents, awkward, no_rows):
+def test_most_of_a_family_below_the_similarity_is_never_tried(spark):
+    corpus = simhash.Corpus(frame(spark, template_family(400, 20, 2)), "doc_id", "text", 5, 0.8, 0.995)
+    reach = {r.id: r.reach for r in corpus.reach(corpus.nodes.select("id")).collect()}
+    size = {r.id: r["size"] for r in corpus.nodes.collect()}
+    able = sum(size[a] <= reach[b] and size[b] <= reach[a] for a in reach for b in reach if a > b)
+    assert 20 <= able < 0.02 * 420 * 419 / 2
+
+
+def test_near_classes_equal_brute_force(spark, documents, awkward, no_rows):
     rng = random.Random(6)
     rows = [(r.doc_id, r.text) for r in documents.dropDuplicates(["text"]).limit(250).collect()]
     for k, (_, t) in enumerate(rows[:120]):
@@ -304,14 +357,10 @@ def test_near_links_equal_brute_force(spark, documents, awkward, no_rows):
         for _ in range(max(1, len(w) // rng.randrange(40, 120))):
             w[rng.randrange(len(w))] = "changed"
         rows.append((10_000 + k, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
-    want = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0}
-    assert len(want) > 50
-    groups = connected(want)
-    got = connected({(r.u, r.v) for r in simhash.near_links(df, "doc_id", "text").collect()})
-    assert all(any(g <= w for w in groups) for g in got)
-    assert sum(map(len, got)) - len(got) >= 0.98 * (sum(map(len, groups)) - len(groups))
+    df, sets = frame(spark, rows), shingle_sets(rows)
+    want, got = connected(all_links(sets)), classes_of(df)
+    assert merges(want) > 50
+    assert all(any(g <= w for w in want) for g in got) and merges(got) >= 0.99 * merges(want)
     kept = {r.doc_id for r in simhash.near_dedup(df, "doc_id", "text").collect()}
     assert kept == set(sets) - {x for g in got for x in g} | {min(g) for g in got}
     assert simhash.near_dedup(no_rows, "doc_id", "text").count() == 0
@@ -319,6 +368,16 @@ def test_near_links_equal_brute_force(spark, documents, awkward, no_rows):
     assert out.columns == awkward.columns and {r.doc_id for r in out.collect()} == {r.doc_id for r in awkward.collect()} - {1, 13}
 
 
+def test_near_dedup_with_repeated_ids_and_clashing_names(spark):
+    """A row is told by its id and its text: a unique text stays though another row of its id is a near copy."""
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text, 7, "a", None), (2, text + " more", 8, "b", None), (2, "a unique text that shares its id with a near copy", 9, "c", 1), (None, text, 10, "d", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, SHA string, __gone int")
+    out = simhash.near_dedup(df, "doc_id", "text")
+    assert out.columns == df.columns
+    assert sorted(r.key for r in out.collect()) == [7, 9, 10]
+
+
 def test_tables_grow_with_documents():
     few, many = simhash.tables_for(10**4, 0.8, 0.995), simhash.tables_for(10**9, 0.8, 0.995)
     assert few[1] < many[1] and few[0] < many[0]
