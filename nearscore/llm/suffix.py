@@ -23,8 +23,9 @@ whole. In the order of the steps:
    intervals hold.
 5. Repeated intervals go back to their texts, overlaps count once, and the rest of the text is kept.
 
-Blocks are known by hashes (64 bits, and 64 more for contexts), so their order among each other is not alphabetical;
-nothing here needs it. What is shuffled: 24 bytes or so for each anchor (one in 32 bytes of text), the texts that have
+Blocks are known by hashes, so their order among each other is not alphabetical; nothing here needs it. A block's 64 bits
+only bring suffixes together. What is equal is decided by bytes, or by 128 bits of BLAKE2b under a key that is drawn for
+each run, so no texts can be made to collide. What is shuffled: 40 bytes or so for each anchor (one in 32 bytes of text), the texts that have
 a repeat, and 126 bytes for each suffix of step 4 (16 bytes for each interval, up to 64, in large blocks). Long texts are cut into overlapping blocks. No step caps a block.
 
 Cases: null text is empty; texts under LENGTH bytes keep all; rows that repeat an id or a whole row are documents of
@@ -34,18 +35,22 @@ their own; ties cannot matter, as strings are judged on the input; an empty tabl
 from __future__ import annotations
 
 import hashlib
+import secrets
+import struct
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearscore.llm.common import cut, ensure_checkpoint_dir, map_batches, small, table, text_or_empty
+from nearscore.llm.common import cut, delete, ensure_checkpoint_dir, free_names, map_batches, release, small, table, text_or_empty
 from nearscore.llm.exact import duplicate_groups
 
 LENGTH, WINDOW, GRAM = 200, 64, 8
 CORE, SIDE = LENGTH - WINDOW + 1, WINDOW - 1
 BLOCK, HALO = 1 << 18, 512
+#: Anchors that a shard merges at once (some 32 MB of text), and rows of an Arrow batch.
+SHARD, SENT = 1 << 20, 1 << 16
 #: Blocks of more suffixes than this are not merged in one task.
 LARGE = 1024
 #: What is known of an anchor; a sum of these.
@@ -135,8 +140,25 @@ def blocks(column):
         row = end
 
 
-def anchor_rows(column):
-    """(row, position, core hash, context hash) of all anchors with CORE bytes after them, as arrays, block by block."""
+def keyed(data, begin, end, left, right, key: bytes):
+    """128-bit keyed hashes (two columns) of the contexts data[begin:end], which reach left and right of their anchors."""
+    import numpy as np
+
+    blake, whole = hashlib.blake2b, memoryview(data)
+    inner = (left == SIDE) & (right == LENGTH)
+    if inner.all():
+        digests = [blake(whole[a:b], digest_size=16, key=key).digest() for a, b in zip(begin.tolist(), end.tolist())]
+    else:  # at a text's ends it is also known how far the context reaches
+        short = key + b"end"
+        digests = [
+            blake(whole[a:b], digest_size=16, key=key).digest() if i else blake(bytes(whole[a:b]) + x.to_bytes(2, "little") + y.to_bytes(2, "little"), digest_size=16, key=short).digest()
+            for a, b, i, x, y in zip(begin.tolist(), end.tolist(), inner.tolist(), left.tolist(), right.tolist())
+        ]
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+
+
+def anchor_rows(column, key: bytes = b""):
+    """(row, position, core hash, context hashes) of all anchors with CORE bytes after them, as arrays, block by block."""
     import numpy as np
 
     for row, data, bounds, part in blocks(column):
@@ -147,18 +169,16 @@ def anchor_rows(column):
         if part:
             fits &= (at + part[0] >= part[1]) & (at + part[0] < part[2])
         at, of, lo, hi = at[fits], of[fits], lo[fits], hi[fits]
-        sums = Sums(data)
         begin, end = np.maximum(lo, at - SIDE), np.minimum(hi, at + LENGTH)
-        context = sums.hashes(begin, end) ^ (((at - begin) * 1024 + (end - at)).astype(np.uint64) * np.uint64(GRAM_MIX))
-        yield row + of, at - lo + (part[0] if part else 0), sums.hashes(at, at + CORE), context
+        context = keyed(np.ascontiguousarray(data), begin, end, at - begin, end - at, key)
+        yield row + of, at - lo + (part[0] if part else 0), Sums(data).hashes(at, at + CORE), context
 
 
-def index_texts(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+def index_texts(df: DataFrame, id_col: str, text_col: str, groups: DataFrame, path: str) -> DataFrame:
     """Writes the texts of the index, with a number for each, and reads them back: number, id, n_bytes, sha, passive
     (one row of a group of equal texts), text. Groups of equal texts have one row, those under LENGTH bytes none."""
     text = text_or_empty(text_col).cast("binary")
-    groups = small(cut(duplicate_groups(df, id_col, text_col)), 96)
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256")).join(groups, "text_sha256", "left")
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("text_sha256")).join(small(groups, 96), "text_sha256", "left")
     passive, size = F.col("group_size").isNotNull(), F.octet_length("text").cast("long")
     rows = rows.where(~passive | (F.col("id").eqNullSafe(F.col("keep_id")) & (size >= LENGTH)))
     numbered = rows.select(F.monotonically_increasing_id().alias("number"), "id", size.alias("n_bytes"), "text_sha256", passive.alias("passive"), "text")
@@ -177,9 +197,9 @@ def shard_merge(core, context, passive):
     settles everything need no block elsewhere."""
     import numpy as np
 
-    order = np.lexsort((context, core))
+    order = np.lexsort((context[:, 1], context[:, 0], core))
     new_core = np.r_[True, np.diff(core[order]) != 0]
-    new = new_core | np.r_[True, np.diff(context[order]) != 0]
+    new = new_core | np.r_[True, (context[order][1:] != context[order][:-1]).any(axis=1)]
     group, block = np.cumsum(new) - 1, np.cumsum(new_core) - 1
     weight = np.bincount(group, 1 + passive[order])[group]
     alone = weight == 1
@@ -195,7 +215,7 @@ def shard_merge(core, context, passive):
     return rows, np.repeat(np.arange(5, dtype=np.int32), [int(m.sum()) for m, _ in sent])
 
 
-def known(texts: DataFrame) -> DataFrame:
+def known(texts: DataFrame, secret: bytes) -> DataFrame:
     """number and known, an array of 8 * position + (ALL, EDGE, PARTNER), of every text with such anchors.
 
     Shards merge their own suffixes first, so a block that a large part of all texts share is a few rows a shard. Rows
@@ -206,20 +226,32 @@ def known(texts: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        def sent(held):
+            of, at, core, context, passive = map(np.concatenate, zip(*held))
+            rows, kind = shard_merge(core, context, passive.astype(np.int64))
+            of, at = of[rows], at[rows]
+            own = (of.view("u8") * np.uint64(GRAM_MIX) ^ at.astype(np.uint64)) * np.uint64(LAST_MIX)
+            key, (one, two) = np.where(kind >= IS_ALL, own, core[rows]), context[rows].view("i8").T
+            for k in range(0, len(rows), SENT):
+                part = slice(k, k + SENT)
+                yield dict(zip(("core", "context", "context2", "number", "at", "kind"), (pa.array(np.ascontiguousarray(x[part])) for x in (key.view("i8"), one, two, of, at, kind))))
+
+        held, n = [], 0
         for batch in batches:
             number, passive = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            for row, at, core, context in anchor_rows(batch.column(2)):
-                if not len(at):
-                    continue
-                sent, kind = shard_merge(core, context, passive[row].astype(np.int64))
-                of, at = number[row][sent], at[sent]
-                own = (of.view("u8") * np.uint64(GRAM_MIX) ^ at.astype(np.uint64)) * np.uint64(LAST_MIX)
-                key = np.where(kind >= IS_ALL, own, core[sent])
-                yield {"core": pa.array(key.view("i8")), "context": pa.array(context.view("i8")[sent]), "number": pa.array(of), "at": pa.array(at), "kind": pa.array(kind)}
+            for row, at, core, context in anchor_rows(batch.column(2), secret):
+                if len(at):
+                    held.append((number[row], at, core, context, passive[row]))
+                    n += len(at)
+                if n >= SHARD:
+                    yield from sent(held)
+                    held, n = [], 0
+        if held:
+            yield from sent(held)
 
-    found = map_batches(texts.where(F.col("n_bytes") >= LENGTH).select("number", "passive", "text"), rows, "core long, context long, number long, at int, kind int")
+    found = map_batches(texts.where(F.col("n_bytes") >= LENGTH).select("number", "passive", "text"), rows, "core long, context long, context2 long, number long, at int, kind int")
     kind = F.col("kind")
-    block, same = W.partitionBy("core"), W.partitionBy("core", "context")
+    block, same = W.partitionBy("core"), W.partitionBy("core", "context", "context2")
     more = found.withColumn("n", F.count(F.lit(1)).over(block)).where((F.col("n") > 1) | (kind >= IS_ALL))
     more = more.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("first", F.row_number().over(same.orderBy("kind", "number", "at")) == 1)
     edge = (kind == ALONE) & (F.col("n") == 1)
@@ -230,17 +262,17 @@ def known(texts: DataFrame) -> DataFrame:
     return more.select("number", (F.col("at").cast("long") * 8 + code).alias("x")).where("x % 8 > 0").groupBy("number").agg(F.collect_list("x").alias("known"))
 
 
-CONTEXTS = "core long, number long, at int, active boolean, n_left int, n_right int, sides binary"
+CONTEXTS = "core long, core2 long, number long, at int, active boolean, n_left int, n_right int, sides binary"
 
 
-def contexts(repeats: DataFrame) -> DataFrame:
+def contexts(repeats: DataFrame, secret: bytes) -> DataFrame:
     """What step 4 merges: the bytes around the core of every anchor of an EDGE or PARTNER, SIDE on each side."""
 
     def rows(batches):
         import numpy as np
 
         for batch in batches:
-            out = {k: [] for k in ("core", "number", "at", "active", "n_left", "n_right", "sides")}
+            out = {k: [] for k in ("core", "core2", "number", "at", "active", "n_left", "n_right", "sides")}
             for number, text, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 x = np.asarray(x.values)
                 x = np.sort(x[(x & (EDGE | PARTNER)) > 0])
@@ -250,8 +282,8 @@ def contexts(repeats: DataFrame) -> DataFrame:
                 at = x >> 3
                 for a, active in zip(at.tolist(), ((x & EDGE) > 0).tolist()):
                     left, right = data[max(0, a - SIDE) : a], data[a + CORE : a + LENGTH]
-                    core = int.from_bytes(hashlib.blake2b(data[a : a + CORE], digest_size=8).digest(), "little", signed=True)
-                    for name, v in zip(out, (core, number, a, active, len(left), len(right), left[::-1].ljust(SIDE, b"\0") + right.ljust(SIDE, b"\0"))):
+                    core = struct.unpack("<qq", hashlib.blake2b(data[a : a + CORE], digest_size=16, key=secret).digest())
+                    for name, v in zip(out, (*core, number, a, active, len(left), len(right), left[::-1].ljust(SIDE, b"\0") + right.ljust(SIDE, b"\0"))):
                         out[name].append(v)
                 if len(out["at"]) >= 8192:
                     yield out
@@ -282,10 +314,13 @@ def refine(block, symbols, lengths):
 
 
 def repeated_starts(core, n_left, n_right, sides):
-    """For each suffix, a 64-bit mask of the d for which the string that starts d bytes before it is repeated."""
+    """For each suffix, a 64-bit mask of the d for which the string that starts d bytes before it is repeated. core: the
+    keyed hash of its first CORE bytes, in two columns."""
     import numpy as np
 
-    block = np.unique(core, return_inverse=True)[1].astype(np.int64)
+    order = np.lexsort(core.T)
+    block = np.empty(len(core), np.int64)
+    block[order] = np.cumsum(np.r_[True, (core[order][1:] != core[order][:-1]).any(axis=1)]) - 1
     right = [*refine(block, sides[:, SIDE:], n_right)]
     mask = np.zeros(len(core), np.uint64)
     for d, left in enumerate(refine(block, sides[:, :SIDE], n_left)):
@@ -316,7 +351,8 @@ def merge(around: DataFrame) -> DataFrame:
             if not t.num_rows:
                 return
             sides = np.frombuffer(b"".join(t["sides"].to_pylist()), np.uint8).reshape(-1, 2 * SIDE)
-            mask = repeated_starts(*(t[k].to_numpy() for k in ("core", "n_left", "n_right")), sides)
+            core = np.stack([t["core"].to_numpy(), t["core2"].to_numpy()], axis=1)
+            mask = repeated_starts(core, t["n_left"].to_numpy(), t["n_right"].to_numpy(), sides)
             keep = (mask > 0) & t["active"].to_numpy()
             yield {"number": pa.array(t["number"].to_numpy()[keep]), "at": pa.array(t["at"].to_numpy()[keep]), "mask": pa.array(mask[keep].view("i8"))}
 
@@ -335,19 +371,20 @@ def merge(around: DataFrame) -> DataFrame:
         if held:
             yield from done(held)
 
-    together = around.repartition("core").sortWithinPartitions("core")
+    together = around.repartition("core").sortWithinPartitions("core", "core2")
     return map_batches(together, rows, MASKS)
 
 
 def merge_large(around: DataFrame) -> DataFrame:
-    """The same for blocks that are too large for one task: each interval is a row under a hash of its own (128 bits),
-    counted with map-side combining; the counts go back to the rows in a join, which AQE splits where it is skewed."""
+    """The same for blocks that are too large for one task: each interval is a row under a hash of its own (128 bits of
+    SHA-256 over its bytes and the keyed hash of its core), counted with map-side combining; the counts go back to the rows in a join, which AQE splits where it is skewed."""
     low, high = F.greatest(F.lit(0), SIDE - F.col("n_right")), F.least(F.lit(SIDE), F.col("n_left"))
-    each = around.where(low <= high).select("core", "number", "at", "active", "sides", F.explode(F.sequence(low, high)).alias("d"))
-    string = (F.col("core"), F.col("d"), F.substring("sides", F.lit(1), F.col("d")), F.substring("sides", F.lit(SIDE + 1), SIDE - F.col("d")))
-    each = each.select("number", "at", "active", "d", F.xxhash64(*string).alias("a"), F.xxhash64(F.lit(1), *string).alias("b"))
-    counts = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    hit = each.where("active").join(counts, ["a", "b"])
+    each = around.where(low <= high).select("core", "core2", "number", "at", "active", "sides", F.explode(F.sequence(low, high)).alias("d"))
+    bytes_ = F.concat(F.substring("sides", F.lit(1), F.col("d")), F.substring("sides", F.lit(SIDE + 1), SIDE - F.col("d")))
+    string = F.concat(F.unhex(F.lpad(F.hex("core"), 16, "0")), F.unhex(F.lpad(F.hex("core2"), 16, "0")), F.unhex(F.lpad(F.hex("d"), 2, "0")), bytes_)
+    each = each.select("number", "at", "active", "d", F.substring(F.unhex(F.sha2(string, 256)), 1, 16).alias("a"))
+    counts = cut(each.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
+    hit = each.where("active").join(counts, "a")
     return hit.groupBy("number", "at").agg(F.expr("bit_or(shiftleft(1L, d)) AS mask"))
 
 
@@ -412,31 +449,49 @@ def cut_out(repeats: DataFrame, found: DataFrame, whole_characters: bool = False
     return map_batches(repeats.join(found, "number", "left").select("number", "text", "known", "starts"), rows, SPANS)
 
 
-def find_repeats(df: DataFrame, id_col: str, text_col: str, whole_characters: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The index's texts, and (number, n_removed, n_spans, kept) of those of them that lose bytes."""
+def find_repeats(df: DataFrame, id_col: str, text_col: str, whole_characters: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(number, id, n_bytes, text_sha256, passive) of the index's texts, (number, n_removed, n_spans, and kept_sha256, or kept
+    with whole_characters) of those of them that lose bytes, and the groups of equal texts. All are durable; what they were
+    made from is deleted."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/suffix-{uuid.uuid4().hex}"
-    texts = index_texts(df, id_col, text_col, f"{path}/texts")
+    secret = secrets.token_bytes(32)
+    groups = cut(duplicate_groups(df, id_col, text_col))
+    texts = index_texts(df, id_col, text_col, groups, f"{path}/texts")
     # texts with a repeat, few beside all, are written with what is known of them; all else is narrow
-    texts.select("number", "text").join(known(texts), "number").write.option("compression", "zstd").parquet(f"{path}/repeats")
+    marked = cut(known(texts, secret))
+    release(spark)
+    texts.select("number", "text").join(marked, "number").write.option("compression", "zstd").parquet(f"{path}/repeats")
+    release(spark)
     repeats = spark.read.parquet(f"{path}/repeats")
-    contexts(repeats).write.option("compression", "zstd").parquet(f"{path}/around")
-    return texts, cut_out(repeats, starts(spark.read.parquet(f"{path}/around")), whole_characters)
+    contexts(repeats, secret).write.option("compression", "zstd").parquet(f"{path}/around")
+    begun = cut(starts(spark.read.parquet(f"{path}/around")))
+    delete(spark, f"{path}/around")
+    release(spark)
+    index = cut(texts.select("number", "id", "n_bytes", "text_sha256", "passive"))
+    found = cut_out(repeats, begun, whole_characters)
+    if whole_characters:
+        found.write.option("compression", "zstd").parquet(f"{path}-kept")
+        found = spark.read.parquet(f"{path}-kept")
+    else:
+        found = cut(found.select("number", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+    delete(spark, path)
+    release(spark)
+    return index, found, groups
 
 
 def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 for every row."""
-    texts, found = find_repeats(df, id_col, text_col)
+    texts, found, groups = find_repeats(df, id_col, text_col)
     alone = texts.where("NOT passive").select("number", "id", "n_bytes", "text_sha256")
-    found = found.select("number", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     alone = alone.join(found, "number", "left").select(
         "id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "text_sha256").alias("kept_sha256"),
     )
     text = text_or_empty(text_col).cast("binary")
     copies = df.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
-    copies = copies.join(small(cut(duplicate_groups(df, id_col, text_col)), 96).select("text_sha256"), "text_sha256")
+    copies = copies.join(small(groups, 96).select("text_sha256"), "text_sha256")
     gone = F.col("n_bytes") >= LENGTH
     copies = copies.select(
         "id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"),
@@ -449,12 +504,13 @@ def remove_repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df with repeated strings taken out of its texts, which are otherwise as they were; where a cut splits a
     character, its remaining bytes go as well. No row goes, even if its text is empty then. Row identity is
     (id, text): rows that agree in both get the same text."""
-    texts, found = find_repeats(df, id_col, text_col, whole_characters=True)
-    new = texts.select("number", "text_sha256").join(found, "number").select(F.col("text_sha256").alias("__sha"), F.col("kept").cast("string").alias("__text"))
-    groups = small(cut(duplicate_groups(df, id_col, text_col)), 96).select(F.col("text_sha256").alias("__sha"), F.lit(True).alias("__copy"))
-    rows = df.withColumn("__sha", F.sha2(text_or_empty(text_col).cast("binary"), 256)).join(groups, "__sha", "left").join(new, "__sha", "left")
-    empty = F.col("__copy") & (F.octet_length(text_or_empty(text_col)) >= LENGTH)
-    text = F.when(empty, F.lit("")).otherwise(F.coalesce(F.col("__text"), F.col(f"`{text_col}`")))
+    texts, found, groups = find_repeats(df, id_col, text_col, whole_characters=True)
+    sha, kept, copy = free_names(df, "sha", "kept", "copy")
+    new = texts.select("number", "text_sha256").join(found, "number").select(F.col("text_sha256").alias(sha), F.col("kept").cast("string").alias(kept))
+    copies = small(groups, 96).select(F.col("text_sha256").alias(sha), F.lit(True).alias(copy))
+    rows = df.withColumn(sha, F.sha2(text_or_empty(text_col).cast("binary"), 256)).join(copies, sha, "left").join(new, sha, "left")
+    empty = F.col(copy) & (F.octet_length(text_or_empty(text_col)) >= LENGTH)
+    text = F.when(empty, F.lit("")).otherwise(F.coalesce(F.col(kept), F.col(f"`{text_col}`")))
     return rows.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
 
 

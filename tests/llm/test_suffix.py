@@ -70,35 +70,46 @@ def test_documents_and_awkward_rows(documents, awkward, no_rows):
     assert suffix.remove_repeats(no_rows, "doc_id", "text").count() == 0
 
 
-def same_half_of_context(rng):
-    """Two texts that share CORE bytes from an anchor on and no more, and half of the bits of the hash of their contexts."""
-    grams = rng.integers(97, 123, (1 << 18, 8), dtype=np.uint8)
-    hashes = (grams.copy().view("<u8").ravel() * np.uint64(suffix.GRAM_MIX)) >> np.uint64(32)
-    core = np.r_[grams[hashes.argmin()], rng.integers(97, 123, suffix.CORE - 8, dtype=np.uint8)]
-    seen = {}
-    for _ in range(30):
-        texts = np.hstack([rng.integers(97, 123, (10_000, suffix.SIDE), dtype=np.uint8), np.tile(core, (10_000, 1)), rng.integers(97, 123, (10_000, suffix.SIDE), dtype=np.uint8)])
-        begin = np.arange(len(texts)) * texts.shape[1]
-        for k, h in enumerate((suffix.Sums(texts.ravel()).hashes(begin, begin + texts.shape[1]) >> np.uint64(32)).tolist()):
-            text = texts[k].tobytes().decode()
-            if h in seen and seen[h][suffix.SIDE - 1] != text[suffix.SIDE - 1]:
-                return seen[h], text
-            seen[h] = text
-
-
-@pytest.mark.parametrize("shards", [1, 2])
-def test_contexts_that_share_half_of_their_hash_are_told_apart(spark, shards):
-    texts = same_half_of_context(np.random.default_rng(5))
-    rows = [*enumerate(texts)]
-    assert brute(rows)[0][0, 263, 0, 0, hashlib.sha256(texts[0].encode()).hexdigest()] == 1
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(shards, "doc_id")
+def words_of_like_sums(share):
+    """Two words whose running sums (as suffix.Sums makes them) differ by a multiple of 2**share."""
+    rng, seen = np.random.default_rng(7), {}
+    base = pow(suffix.BASE, -1, 1 << 64)
+    powers = np.array([pow(base, k, 1 << 64) for k in range(8)], np.uint64)
+    while True:
+        words = rng.integers(97, 123, (1 << 18, 8), dtype=np.uint8)
+        for k, h in enumerate((((words.astype(np.uint64) + np.uint64(1)) * powers).sum(axis=1) & np.uint64((1 << share) - 1)).tolist()):
+            word = words[k].tobytes().decode()
+            if seen.setdefault(h, word) != word:
+                return seen[h], word
+
+
+def test_texts_made_to_collide_are_told_apart(spark):
+    """A Thue-Morse order of two words and its inverse have equal polynomial hashes modulo 2**64, whatever the base."""
+    pair = words_of_like_sums(40)
+    order = [k.bit_count() & 1 for k in range(16)]
+    one, two = ("".join(pair[x ^ flip] for x in order).encode() for flip in (0, 1))
+    sums = suffix.Sums(np.frombuffer(one + two, np.uint8)).hashes(np.array([0, 128]), np.array([128, 256]))
+    assert sums[0] == sums[1] and one != two
+    tests = []
+    for around in ("", "b" * 60, "the same before, the same after, under two hundred bytes "):
+        tests += [f"{around}{x.decode() * n}{around}" for n in (1, 2) for x in (one, two)]
+    tests += ["".join(pair[(k.bit_count() & 1) ^ flip] for k in range(31)) for flip in (0, 1)]
+    rows = [*enumerate(tests)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert Counter(map(tuple, suffix.spans(df, "doc_id", "text").collect())) == brute(rows)[0]
 
 
+def test_clashing_names_and_a_hash_of_the_users(spark):
+    rows = [(k, "a passage that repeats " * 12 + str(k), f"mine {k}", "x", 1) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sha string, KEPT string, copy int")
+    out = suffix.remove_repeats(df, "doc_id", "text")
+    assert out.columns == df.columns and {r.sha for r in out.collect()} == {"mine 0", "mine 1", "mine 2"}
+
+
 def found(texts):
     out = Counter()
     for row, at, core, context in suffix.anchor_rows(pa.array(texts, pa.binary())):
-        out.update(zip(row.tolist(), at.tolist(), core.tolist(), context.tolist()))
+        out.update(zip(row.tolist(), at.tolist(), core.tolist(), map(tuple, context.tolist())))
     return out
 
 
@@ -140,14 +151,15 @@ def test_refine_gives_common_prefixes():
 def test_no_suffix_open_on_both_sides():
     side = suffix.SIDE
     sides = np.zeros((2, 2 * side), np.uint8)
-    assert suffix.repeated_starts(np.array([1, 2]), np.array([side, side]), np.array([side, side]), sides).tolist() == [0, 0]
-    assert suffix.repeated_starts(np.array([1, 1]), np.array([0, 0]), np.array([0, 0]), sides).tolist() == [0, 0]
-    assert suffix.repeated_starts(np.array([1, 1]), np.array([0, 0]), np.array([side, side]), sides).tolist() == [1, 1]
+    cores = lambda *x: np.array([[k, 0] for k in x])
+    assert suffix.repeated_starts(cores(1, 2), np.array([side, side]), np.array([side, side]), sides).tolist() == [0, 0]
+    assert suffix.repeated_starts(cores(1, 1), np.array([0, 0]), np.array([0, 0]), sides).tolist() == [0, 0]
+    assert suffix.repeated_starts(cores(1, 1), np.array([0, 0]), np.array([side, side]), sides).tolist() == [1, 1]
 
 
 def test_shard_merge_sends_few_rows_for_a_shared_block():
     core = np.array([7] * 50 + [8] * 40 + [9, 10], np.uint64)
-    context = np.array([1] * 50 + [*range(40)] + [3, 4], np.int32)
+    context = np.array([[7, 1]] * 50 + [[7, k] for k in range(40)] + [[7, 3], [7, 4]], np.uint64)
     passive = np.zeros(92, np.int64)
     passive[91] = 1
     rows, kind = suffix.shard_merge(core, context, passive)
