@@ -7,7 +7,8 @@ rule (u2, v2) that moves the edge has a later rank, and u is on the left spine o
 the rule that makes v2, and so on. The largest sum of len(u) over such chains of rules, found in one pass through
 the merge list, is its sufficient lookahead: tokens that end at least that many symbols before the end of what has
 been read are final. The transducer holds a block of symbols, merges it, emits the tokens that are final and goes on
-with the rest, so a word of any length takes constant memory. The bound needs a proper list (each token is made by
+with the rest, so its memory is constant whatever the length of a word. (Spark hands over whole texts, so a task holds the
+text that it reads; what is kept besides is a block of it, the ids of one block, and the caches.) The bound needs a proper list (each token is made by
 one rule, from tokens that earlier rules make); this is checked when the list is read.
 
 Words of ordinary length are merged in one block and remembered in two bounded generations of a cache.
@@ -17,7 +18,8 @@ common punctuation) they are done here; any other text goes block by block throu
 pre-tokeniser, and only the merges are ours. Strings of special tokens in a text are their tokens, as in the library.
 
 Cases: null text is empty text (no tokens, empty decoded text); very long texts are read in blocks cut at white
-space; ids that the vocabulary lacks are skipped when decoding.
+space, or where there is none for a block, at the next one; ids that the vocabulary lacks are skipped when decoding; there
+are no ties (a rank has one rule); repeated rows give repeated results, an empty table none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 BLOCK_CHARS = 1 << 20
-CACHE_WORDS = 1 << 18
+#: Words in each of two generations of the cache, at some 150 bytes a word: 20 MB a process.
+CACHE_WORDS = 1 << 16
 WORD_SYMBOLS = 256
 
 #: Characters for which lower(), one white space class and the word pattern below agree with the library's rules.
@@ -156,10 +159,10 @@ class _Words(dict):
 class Bpe:
     """A tokenizer read from a file of the tokenizers library (BPE on bytes, words split beforehand)."""
 
-    def __init__(self, path: str, cache_words: int | None = None):
+    def __init__(self, path: str, library_merges: bool = False):
         from tokenizers import Tokenizer
 
-        self._cache_words = cache_words or CACHE_WORDS
+        self._cache_words = CACHE_WORDS
 
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
@@ -169,6 +172,7 @@ class Bpe:
             raise ValueError(f"{path}: this kind of tokenizer is not supported")
         library = Tokenizer.from_file(path)
         self._normalizer, self._splitter = library.normalizer, library.pre_tokenizer
+        self._model = library.model if library_merges else None
         vocab, self._suffix = model["vocab"], model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = Merges(vocab, pairs, self._suffix)
@@ -194,6 +198,8 @@ class Bpe:
 
     def _short(self, piece: str) -> bytes:
         """Ids (little-endian, 32 bits) of a pre-token of at most WORD_SYMBOLS bytes, given in byte symbols."""
+        if self._model:
+            return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
         ids = [*map(self._first.__getitem__, piece)]
         ids[-1] = self._last[piece[-1]]
         return array("I", self.merges.merge(ids)).tobytes()
@@ -297,12 +303,12 @@ class Bpe:
 _loaded: dict[tuple, Bpe] = {}
 
 
-def load(path: str, cache_words: int | None = None) -> Bpe:
-    """One tokenizer for each file in a process, with its caches: two generations of cache_words words (by default
-    CACHE_WORDS, some 250 MB when full), which live as long as the process."""
-    if (path, cache_words) not in _loaded:
-        _loaded[path, cache_words] = Bpe(path, cache_words)
-    return _loaded[path, cache_words]
+def load(path: str, library_merges: bool = False) -> Bpe:
+    """One tokenizer for each file in a process, with its caches. library_merges: the library merges the words that the
+    caches lack, for callers that want its ids and not the transducer."""
+    if (path, library_merges) not in _loaded:
+        _loaded[path, library_merges] = Bpe(path, library_merges)
+    return _loaded[path, library_merges]
 
 
 def digests(bpe: Bpe, text: str | None) -> tuple[int, str, str]:

@@ -3,12 +3,14 @@ the whole text, and a step looks only at rows whose group still has two or more
 
 What crosses the network is never text. Group keys are counted with map-side combining, so a group that holds a
 third of all rows is one row for each map task; groups of one are dropped before the next step. The surviving keys
-of the first two steps go back to the scan as a broadcast, if their counted size allows; otherwise the next hash is
-made for every row, which costs CPU and never a shuffle of text.
+of the first two steps go back to the scan as a broadcast, if their counted size allows. Beyond that size the next hash is
+made for every row of the scan, in place of a join that would shuffle all texts to save it: about 4 CPU seconds a GB. The
+result is the same either way.
 
 Cases: null text counts as empty; rows that repeat a document's id and text are rows of the group, counted in
-group_size and all kept or all dropped with it; a null id never stays while its group has another; an empty table
-gives an empty result; columns of the input named as ours are not read.
+group_size and all kept or all dropped with it; of ties by id all rows stay; a null id never stays while its group has
+another; very long texts are hashed in place and never moved; an empty table gives an empty result; extra columns come back
+as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearscore.llm.common import BROADCAST_BYTES, cut, small, table, text_or_empty
+from nearscore.llm.common import BROADCAST_BYTES, cut, free_names, small, table, text_or_empty
 
 PREFIX_CHARS = 128
 
@@ -28,7 +30,7 @@ def _survivors(rows: DataFrame, keys: list[str], row_bytes: int, limit: int) ->
 
 
 def duplicate_groups(df: DataFrame, id_col: str, text_col: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """text_sha256, keep_id and group_size of every text that two rows or more have."""
+    """text_sha256, keep_id, group_size, n_bytes and prefix_hash of every text that two rows or more have."""
     text = text_or_empty(text_col)
     rows = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("n_bytes", F.octet_length("text"))
     lengths = _survivors(rows, ["n_bytes"], 16, limit)
@@ -36,15 +38,16 @@ def duplicate_groups(df: DataFrame, id_col: str, text_col: str, limit: int = BRO
     rows = rows.withColumn("prefix_hash", F.xxhash64(F.substring("text", 1, PREFIX_CHARS)))
     prefixes = _survivors(rows, ["n_bytes", "prefix_hash"], 32, limit)
     rows = rows if prefixes is None else rows.join(prefixes, ["n_bytes", "prefix_hash"])
-    whole = rows.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    return whole.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    whole = rows.select("id", "n_bytes", "prefix_hash", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    groups = whole.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), *(F.first(c).alias(c) for c in ("n_bytes", "prefix_hash")))
+    return groups.where("group_size > 1")
 
 
 def dedup_decisions(df: DataFrame, id_col: str, text_col: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """id, text_sha256, keep_id, group_size and kept for every row."""
     groups = cut(duplicate_groups(df, id_col, text_col, limit))
     rows = df.select(F.col(id_col).alias("id"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("text_sha256"))
-    of = rows.join(small(groups, 96, limit), "text_sha256", "left")
+    of = rows.join(small(groups.select("text_sha256", "keep_id", "group_size"), 96, limit), "text_sha256", "left")
     keep = F.coalesce("keep_id", "id")
     return of.select(
         "id", "text_sha256", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
@@ -54,10 +57,14 @@ def dedup_decisions(df: DataFrame, id_col: str, text_col: str, limit: int = BROA
 
 def exact_dedup(df: DataFrame, id_col: str, text_col: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of df that stay, all columns as they were. The few keys of groups go to the rows, not rows to keys."""
-    groups = small(cut(duplicate_groups(df, id_col, text_col, limit)), 96, limit).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    sha = F.sha2(text_or_empty(text_col).cast("binary"), 256)
-    rows = df.withColumn("__sha", sha).join(groups, "__sha", "left")
-    return rows.where(F.col("__keep").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))).select(*(F.col(f"`{c}`") for c in df.columns))
+    sha, keep, size, prefix, again = free_names(df, "sha", "keep", "size", "prefix", "again")
+    groups = cut(duplicate_groups(df, id_col, text_col, limit))
+    text = text_or_empty(text_col)
+    keys = small(cut(groups.select(F.col("n_bytes").alias(size), F.col("prefix_hash").alias(prefix)).distinct()), 32, limit).withColumn(again, F.lit(True))
+    rows = df.withColumn(size, F.octet_length(text)).withColumn(prefix, F.xxhash64(F.substring(text, 1, PREFIX_CHARS))).join(keys, [size, prefix], "left")
+    rows = rows.withColumn(sha, F.when(F.col(again), F.sha2(text.cast("binary"), 256)))  # of survivors only
+    rows = rows.join(small(groups, 96, limit).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep)), sha, "left")
+    return rows.where(F.col(keep).isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col(keep))).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int | None = None) -> DataFrame:
+def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of at most capacity tokens: where it starts in its document, its length and checksum."""
 
     def cut_up(b, text):
@@ -45,7 +45,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, capacity:
         yield held
 
     def rows(batches):
-        b = bpe.load(path, cache_words)
+        b = bpe.load(path, library_merges=True)
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -107,20 +107,29 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (doc_id, piece, length and others; materialised) with sequence_id and offset."""
+    """pieces (doc_id, piece, length and others; materialised) with sequence_id and offset.
+
+    A piece finds its row of the plan by its length and the block of its rank: each length's ranks are cut into about
+    as many blocks as it has rows in the plan, and a row is listed under the blocks that it touches, so a piece meets two
+    rows or three, however many there are."""
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     rows = plan(counts, capacity)
-    where = spark.createDataFrame(rows, "length long, from_rank long, to_rank long, first_sequence long, offset long")
-    where = F.broadcast(where) if len(rows) * 40 <= BROADCAST_BYTES else where
-    at = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], "rank")
-    return at.join(where, "length").where("rank >= from_rank AND rank < to_rank").select(
+    per_length = Counter(r[0] for r in rows)
+    width = {n: -(-counts[n] // per_length[n]) for n in counts}
+    listed = [(length, block, *more) for length, lo, hi, *more in ((r[0], r[1], r[2], *r[1:]) for r in rows) for block in range(lo // width[length], (hi - 1) // width[length] + 1)]
+    where = spark.createDataFrame(listed, "length long, block long, from_rank long, to_rank long, first_sequence long, offset long")
+    where = F.broadcast(where) if len(listed) * 48 <= BROADCAST_BYTES else where
+    widths = F.broadcast(spark.createDataFrame([*width.items()], "length long, width long"))  # at most capacity rows
+    at = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"], "rank").join(widths, "length")
+    at = at.withColumn("block", F.floor(F.col("rank") / F.col("width")).cast("long"))
+    return at.join(where, ["length", "block"]).where("rank >= from_rank AND rank < to_rank").select(
         *pieces.columns, (F.col("first_sequence") + F.col("rank") - F.col("from_rank")).alias("sequence_id"), "offset"
     )
 
 
-def pack_documents(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int | None = None) -> DataFrame:
-    return pack(cut(token_pieces(df, id_col, text_col, path, capacity, end_id, cache_words)), capacity)
+def pack_documents(df: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    return pack(cut(token_pieces(df, id_col, text_col, path, capacity, end_id)), capacity)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

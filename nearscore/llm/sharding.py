@@ -5,19 +5,18 @@ keeps its shard or moves to the new one, and one row in n + 1 moves. There is no
 look up, so a shard is computed in the scan; only narrow rows are shuffled, to number the rows of a shard.
 
 Cases: a null key is replaced by the xxhash64 of the row's size and text checksum, so rows without a key spread
-as others do; null text has no bytes; repeated rows share their shard and get slots of their own; an empty
-table gives an empty result; columns of the input that carry the names made here are not read.
+as others do; null text has no bytes; a text of any length is read once and not moved; repeated rows, which tie, share
+their shard and get slots of their own in any order; an empty table gives an empty result; columns of the input that carry
+the names made here are not read, and write_sharded() names its folder column so that it clashes with none.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearscore.llm.common import BROADCAST_BYTES, table, text_or_empty
+from nearscore.llm.common import BROADCAST_BYTES, free_names, table, text_or_empty
 
 #: Fixed values of the method: the multiplier of its 64-bit linear congruential generator, and 2 to the 31.
 MULTIPLIER = 2862933555777941757
@@ -72,12 +71,16 @@ def jump_walk(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, finish)
 
 
+def _key_or_content(key: Column, text: Column) -> Column:
+    """The key; for rows without one, a hash of size and checksum, so that they spread as others do."""
+    return F.coalesce(key, F.xxhash64(F.octet_length(text).cast("long") + 8, F.crc32(text.cast("binary"))))
+
+
 def _steps(df: DataFrame, key: Column, shards: int, text: Column) -> DataFrame:
     size = F.octet_length(text).cast("long") + 8
     return df.select(
         key.alias("key"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn(
-        "walk", jump_walk(F.coalesce(F.col("key"), F.xxhash64("size", "text_crc32")), shards)
+        jump_walk(_key_or_content(key, text), shards).alias("walk"),
     )
 
 
@@ -111,10 +114,10 @@ def moved_fraction(df: DataFrame) -> DataFrame:
     return df.agg(*(v.alias(k) for k, v in sums.items()))
 
 
-def write_sharded(df: DataFrame, path: str, key: str, shards: int) -> None:
+def write_sharded(df: DataFrame, path: str, key: str, text: str, shards: int) -> None:
     """df by shard, one folder a shard; appending a shard rewrites only the rows that moved_fraction counts."""
-    walk = jump_walk(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")), shards)
-    name = reduce(lambda n, _: f"_{n}" if n in df.columns else n, range(len(df.columns)), "shard")
+    walk = jump_walk(_key_or_content(F.col(f"`{key}`").cast("long"), text_or_empty(text)), shards)
+    (name,) = free_names(df, "shard")
     df.withColumn(name, walk["shard"]).write.partitionBy(name).parquet(path)
 
 

@@ -457,7 +457,7 @@ def find_repeats(df: DataFrame, id_col: str, text_col: str, whole_characters: bo
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/suffix-{uuid.uuid4().hex}"
     secret = secrets.token_bytes(32)
-    groups = cut(duplicate_groups(df, id_col, text_col))
+    groups = cut(duplicate_groups(df, id_col, text_col).select("text_sha256", "keep_id", "group_size"))
     texts = index_texts(df, id_col, text_col, groups, f"{path}/texts")
     # texts with a repeat, few beside all, are written with what is known of them; all else is narrow
     marked = cut(known(texts, secret))
