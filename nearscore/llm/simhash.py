@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearscore.llm.common import components, cut, free_names, map_batches, small, table
+from nearscore.llm.common import components, cut, free_names, map_batches, release, small, table
 
 SEED = 42
 RADIUS = 2
@@ -51,7 +51,7 @@ SIMILARITY, WORDS, RECALL = 0.8, 5, 0.995
 #: A pair at the similarity passes a look at n of its bits unless it differs in this many standard deviations more.
 SIGMAS = 3.5
 #: Tables of the first round; pairs in buckets up to WIDE rows are found together, in larger ones by ROWS rows at a time;
-#: buckets over HOT rows are split. Keys have less than KEY_BITS bits, salts the rest.
+#: buckets over HOT rows are split. Keys have less than KEY_BITS bits, salts the rest. SEEN ids are held in a task at most.
 FIRST, WIDE, ROWS, HOT, KEY_BITS, SEEN = 2, 64, 256, 2048, 46, 1 << 20
 
 
@@ -257,59 +257,72 @@ class Buckets:
             yield self.id[a], self.id[b]
 
     def paired(self):
-        """ids of rows with pairs, twice."""
+        """ids of rows with pairs, each once a bucket or so."""
         import numpy as np
 
         for a, b in self.pairs():
-            ids = np.unique(np.r_[self.id[a], self.id[b]])
-            yield ids, ids
+            yield np.unique(np.r_[self.id[a], self.id[b]])
+
+
+def by_key(batches, n: int):
+    """The n columns of batches that come sorted by key, as arrays of whole buckets; a list column becomes a matrix."""
+    import numpy as np
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(k).to_numpy() for k in range(min(n, 8))]
+        now[3] = now[3].view("u8")
+        if n > 8:
+            now.append(batch.column(8).flatten().to_numpy().reshape(batch.num_rows, -1))
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        if end := int(np.searchsorted(held[0], held[0][-1], "left")):
+            yield [x[:end] for x in held]
+            held = [x[end:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
 
 
 def in_buckets(rows: DataFrame, bits: int, most: int, most_of_all: int, what: str) -> DataFrame:
-    """u >= v: what Buckets finds (partners, all or paired) in rows with its columns."""
+    """u > v: what Buckets finds (partners or all) in rows with its columns."""
     n = len(rows.columns)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        seen, n_seen = [], 0
-
-        def within(columns):
-            nonlocal seen, n_seen
+        for columns in by_key(batches, n):
             for a, b in getattr(Buckets(columns, bits, most, most_of_all), what)():
-                if what != "paired":
-                    yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))}
-                    continue
-                seen.append(a)  # each once a task, or once in a while
-                n_seen += len(a)
-                if n_seen >= SEEN:
-                    yield once()
-
-        def once():
-            nonlocal seen, n_seen
-            ids = pa.array(np.unique(np.concatenate(seen)))
-            seen, n_seen = [], 0
-            return {"u": ids, "v": ids}
-
-        held = None  # rows come sorted by key; the last key may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(k).to_numpy() for k in range(min(n, 8))]
-            now[3] = now[3].view("u8")
-            if n > 8:
-                now.append(batch.column(8).flatten().to_numpy().reshape(batch.num_rows, -1))
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            if end := int(np.searchsorted(held[0], held[0][-1], "left")):
-                yield from within([x[:end] for x in held])
-                held = [x[end:] for x in held]
-        if held is not None and len(held[0]):
-            yield from within(held)
-        if seen:
-            yield once()
-
-    return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long").distinct()
+                yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))}
+
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long").where("u <> v").distinct()
+
+
+def paired(rows: DataFrame, bits: int, most: int, known: DataFrame) -> DataFrame:
+    """id of every row that shares a key with another in a way that counts, besides those in known. rows: of Buckets."""
+    n = len(rows.columns)
+    rows = rows.join(small(known, 16).withColumn("known", F.lit(1).cast("long")), "id", "left")
+    rows = rows.select("key", "mask", "id", "check", "other", "label", F.coalesce("known", F.lit(0).cast("long")).alias("known"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        seen, total = [], 0
+        for columns in by_key(batches, n + 1):
+            known = columns.pop()
+            new = np.unique(columns[2][known == 0])
+            for ids in Buckets(columns, bits, most, 0).paired():
+                seen.append(np.intersect1d(ids, new, assume_unique=True))
+                total += len(seen[-1])
+            if total >= SEEN:
+                yield {"id": pa.array(np.unique(np.concatenate(seen)))}
+                seen, total = [], 0
+        if seen:  # each once a task, or once in a while
+            yield {"id": pa.array(np.unique(np.concatenate(seen)))}
+
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "id long").union(known).distinct()
 
 
 class Balls:
@@ -422,7 +435,10 @@ class Corpus:
         a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
         both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("set_u", "set_v")))
         exact = F.col("shared") / (F.size("set_u") + F.size("set_v") - F.col("shared"))
-        return cut(both.where(exact >= self.similarity).select("u", "v").distinct())
+        links = cut(both.where(exact >= self.similarity).select("u", "v").distinct())
+        del pairs, sets, a, b, both
+        release(self.nodes.sparkSession)
+        return links
 
     def labelled(self, links: DataFrame) -> DataFrame:
         """nodes with the label of their component, their own id if they have no link."""
@@ -457,9 +473,14 @@ def near_links(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
     links, tried = cut(links.union(corpus.verified(hubs))), tried.union(hubs)
     # 2: nodes with collisions outside their component, and of these the ones that can be similar enough to any other
     labelled = cut(corpus.labelled(links))
-    open_ = find(balls.rows(labelled), "paired").select(F.col("u").alias("id"))
-    open_ = open_.union(balls.in_hot(labelled)).distinct() if balls.any_hot else open_
-    reach = small(corpus.reach(cut(open_)), 24)
+    label = labelled.select("id", "label")
+    apart = tried.join(label.toDF("u", "label_u"), "u").join(label.toDF("v", "label_v"), "v").where("label_u <> label_v")
+    known = cut(apart.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    open_ = paired(balls.rows(labelled), corpus.bits, most, known)
+    open_ = cut(open_.union(balls.in_hot(labelled)).distinct() if balls.any_hot else open_)
+    release(nodes.sparkSession)
+    reach = small(corpus.reach(open_), 24)
+    release(nodes.sparkSession)
     # 3: their partners in all tables, then all collisions that are left
     partners = find(balls.rows(cut(labelled.join(reach, "id"))), "partners")
     partners = cut(partners.join(tried, ["u", "v"], "left_anti"))

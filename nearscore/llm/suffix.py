@@ -49,8 +49,8 @@ from nearscore.llm.exact import duplicate_groups
 LENGTH, WINDOW, GRAM = 200, 64, 8
 CORE, SIDE = LENGTH - WINDOW + 1, WINDOW - 1
 BLOCK, HALO = 1 << 18, 512
-#: Anchors that a shard merges at once (some 32 MB of text), and rows of an Arrow batch.
-SHARD, SENT = 1 << 20, 1 << 16
+#: Anchors that a shard merges at once (some 8 MB of text), and rows of an Arrow batch.
+SHARD, SENT = 1 << 18, 1 << 14
 #: Blocks of more suffixes than this are not merged in one task.
 LARGE = 1024
 #: What is known of an anchor; a sum of these.
