@@ -8,12 +8,18 @@ assistant text is a target once. A turn that is longer than the budget gets a wi
 The template marks turns with control strings. In texts, a backslash is doubled and a control string gets one after
 its first character, so none is left in a text and unescape() gives it back.
 
-Rows are dealt out by conversation and segment of SEGMENT turn numbers, so a conversation of any length is many small
-groups; a segment begins with the system turn and the last HISTORY_TURNS turn numbers before it. Groups are read as
-sorted streams: memory holds one window.
+Rows are sorted by range into many tasks, whatever the size of a conversation, and numbered within theirs: ranks, not
+turn numbers, so gaps and large numbers cost nothing. They are dealt out by conversation and segment of SEGMENT ranks, so a
+conversation of any length is many small groups; a segment begins with the system turn and the last HISTORY_TURNS rows
+before it, and windows break there. Groups are read as sorted streams: memory holds one window. Only read_back(), whose
+digests are over whole conversations, streams one through one task.
+
+A window has at most `budget` tokens: repeated history is dropped before that is exceeded, the oldest first, and only a turn
+that does not fit beside the system turn alone exceeds it, in a window of its own.
 
 Cases: null text is empty; a null role is an empty role; rows without a conversation id form one conversation; null
-turns come first; rows that share a turn are ordered by role and text, repeated rows stay; an empty table gives none.
+turns come first; rows that share a turn are ordered by role and text, repeated rows stay; a very long text is one turn, kept
+whole; an empty table gives none; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearscore.llm import bpe
-from nearscore.llm.common import map_batches, table
+from nearscore.llm.common import cut, map_batches, table
 from nearscore.llm.tokens import word_bpe
 
 BUDGET, HISTORY, HISTORY_TURNS, SEGMENT = 2048, 256, 2, 4096
@@ -63,7 +69,7 @@ def parse(window: str) -> list[tuple[str, str, int, int]]:
 def windows(turns, count, budget: int, history: int) -> Iterator[tuple[int, int, str, list[tuple[int, int]]]]:
     """(repeated turns, tokens, text, loss spans) of a stream of (kind, role, text): kind 0 is a system turn from an
     earlier segment, 1 history from one, 2 a turn of this segment."""
-    system, before, now, used, room, first = None, [], [], 0, 0, True
+    system, before, now, used, first = None, [], [], 0, True
 
     def close():
         parts, loss, at = [*([system] if system and (system_repeated or before) else []), *before, *now], [], 0
@@ -98,6 +104,8 @@ def windows(turns, count, budget: int, history: int) -> Iterator[tuple[int, int,
                 room -= p[2]
             before, now, system_repeated = tail, [], True
             used = sum(p[2] for p in before) + (system[2] if system else 0)
+        while not now and before and used + turn[2] > budget:
+            used -= before.pop(0)[2]
         if role == "system" and system is None and not now and not before:
             system = turn
         now.append(turn)
@@ -111,22 +119,53 @@ def sorted_stream(batches, columns: int) -> Iterator[tuple]:
         yield from zip(*(batch.column(k).to_pylist() for k in range(columns)))
 
 
+def with_ranks(turns: DataFrame) -> DataFrame:
+    """turns with rank: 0, 1, ... within each conv_id, by turn, role and text.
+
+    Tasks hold ranges of the sorted rows, made durable once. Where a conversation goes on from one task into the next, the
+    next begins with the number of its rows before; the driver adds these up from one row a task."""
+    order, parts = ["conv_id", "turn", "role", "text"], int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(turns.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).alias("part")
+    of_conversation = rows.groupBy(part, "conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    ends = of_conversation.groupBy("part").agg(F.min(F.struct("at", "conv_id"))["conv_id"].alias("first"), F.max(F.struct("at", "conv_id", "n")).alias("last"), F.count(F.lit(1)).alias("conversations"))
+    before, last, running = {}, None, 0
+    for r in sorted(ends.collect(), key=lambda r: r.part):
+        before[r.part] = running if last is not None and last == (r.first,) else 0
+        running = r["last"]["n"] + (before[r.part] if r.conversations == 1 else 0)
+        last = (r["last"]["conv_id"],)
+
+    def run(batches):
+        now, rank = None, 0
+        for batch in batches:
+            ranks = []
+            for conv, at in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+                if now != (conv,):
+                    rank = before[at >> 33] if not at & ((1 << 33) - 1) else 0
+                    now = (conv,)
+                ranks.append(rank)
+                rank += 1
+            yield {"conv_id": batch.column(0), "role": batch.column(2), "text": batch.column(3), "rank": ranks}
+
+    return map_batches(rows, run, "conv_id long, role string, text string, rank long")
+
+
 def format_windows(df: DataFrame, path: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """WINDOWS of conversations df (conv_id, turn, role, text)."""
     turns = df.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    segment = F.floor(F.coalesce("turn", F.lit(0).cast("long")) / SEGMENT).cast("long")
-    own = turns.withColumn("segment", segment).withColumn("kind", F.lit(2))
-    late = F.pmod("turn", F.lit(SEGMENT)) >= SEGMENT - HISTORY_TURNS
-    carried = own.where(late).withColumn("segment", F.col("segment") + 1).withColumn("kind", F.lit(1))
+    segments = SEGMENT
+    own = with_ranks(turns).withColumn("segment", F.floor(F.col("rank") / segments).cast("long")).withColumn("kind", F.lit(2))
+    late = own.where(F.pmod("rank", F.lit(segments)) >= segments - HISTORY_TURNS).withColumn("segment", F.col("segment") + 1).withColumn("kind", F.lit(1))
     # the few conversations with more than one segment; their system turns go along
-    spans = own.groupBy("conv_id").agg(F.min("segment").alias("lo"), F.max("segment").alias("hi"), F.min(F.struct("turn", "role", "text")).alias("head")).where("hi > lo AND head.role = 'system'")
-    heads = spans.select("conv_id", F.col("head.turn").alias("turn"), F.col("head.role").alias("role"), F.col("head.text").alias("text"), F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("segment"), F.lit(0).alias("kind"))
-    rows = own.unionByName(carried).unionByName(heads)
+    hi = own.groupBy("conv_id").agg(F.max("segment").alias("hi")).where("hi > 0")
+    heads = own.where("rank = 0 AND role = 'system'").drop("segment", "kind")
+    heads = heads.join(hi, heads["conv_id"].eqNullSafe(hi["conv_id"])).select(heads["conv_id"], "role", "text", "rank", F.explode(F.sequence(F.lit(1).cast("long"), F.col("hi"))).alias("segment"), F.lit(0).alias("kind"))
     key = ["conv_id", "segment"]
-    rows = rows.select(*key, "kind", "turn", "role", "text").repartition(*key).sortWithinPartitions(*key, "kind", "turn", "role", "text")
+    rows = own.unionByName(late).unionByName(heads).select(*key, "kind", "rank", "role", "text")
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "kind", "rank")
 
     def run(batches):
         b, out = bpe.load(path), []

@@ -124,6 +124,8 @@ def test_chat(spark, monkeypatch, segment, budget):
     monkeypatch.setattr(chat, "SEGMENT", segment)
     own = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (None, 1, "user", None), (None, None, None, "x"), (900, 5, "assistant", "late"), (900, 5, "assistant", "late"),
            (901, 0, "assistant", ""), (902, 1, "tool]", "[/ROLE] ]"), (903, 0, "user", "a" * 50000)]
+    own += [(905, 10**13 * k, ("user", "assistant")[k % 2], f"far apart {k}") for k in range(7)] + [(905, -(2**62), "system", "first")]
+    own += [(906, 7 * k, "user", "word " * n) for k, n in enumerate((200, 240, 1500, 200, 1800))]
     own += [(904, 0, "system", "be kind")] + [(904, k, ("assistant", "user")[k % 2], f"turn {k} " + "word " * (k % 60)) for k in range(1, 40)]
     df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text")
     df = df.union(spark.createDataFrame(own, df.schema)).withColumn("window", chat.F.lit("x"))
@@ -134,8 +136,11 @@ def test_chat(spark, monkeypatch, segment, budget):
     for r in formatted.collect():
         turns = chat.parse(r.text)
         assert r.n_tokens == sum(len(b.encode(chat.turn_text(*t[:2])[0])) for t in turns)
-        assert r.n_tokens <= budget or len(turns) - r.repeated == 1
+        alone = sum(len(b.encode(chat.turn_text(*t[:2])[0])) for k, t in enumerate(turns) if k >= r.repeated or t[0] == "system")
+        assert r.n_tokens <= budget or (len(turns) - r.repeated == 1 and alone > budget and r.n_tokens == alone)
         assert r.repeated <= 1 + chat.HISTORY_TURNS
+        if r.conv_id == 905 and segment == 4 and r.segment == 1 and r.window == 0:
+            assert r.repeated > 1 and turns[0][:2] == ("system", "first") and turns[1][1].startswith("far apart")  # history crosses the seam
         if r.conv_id == 904:
             assert turns[0][:2] == ("system", "be kind") and len(turns) > r.repeated
     assert chat.read_back(chat.format_windows(df.limit(0), tokens.word_bpe())).count() == 0
