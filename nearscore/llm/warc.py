@@ -4,15 +4,19 @@ Records are grouped into independent Zstandard frames of about FRAME_BYTES; a bu
 skippable frame (the public seekable format: sizes of each frame, then a footer), so one frame is read without the
 others. An index maps each record's identifier to its frame and its offset within that frame.
 
-Bundles are rows of Parquet in shared storage (bundle_id, data, index), each made by one task and committed by Spark's
-writer, so a lost executor leaves no half bundle; `data` is the file as it stands. Of records with equal payloads of
+Bundles are objects (`.warc.zst`) in shared storage, written frame by frame through Arrow's file systems by the path's
+scheme. The index is a Parquet table beside them: record, object, where its frame lies in the object and the record in the
+frame, so a lookup reads the bytes of one frame. A task attempt gives its objects names of their own, and only what the
+index names counts: Spark's writer commits the index, so a lost executor leaves an object that nothing refers to, never half a
+bundle. Of records with equal payloads of
 LEAST_PAYLOAD bytes or more, the one with the largest id is a response, the others are revisits that refer to it.
 Repeated payloads are found on (digest, size, id) alone, counted with map-side combining; the few groups go to the
 pages and no page is shuffled.
 
 Cases: null html is an empty payload; a null url is empty; line breaks in a url are percent-encoded; a row without an
 id is a record without a number, never a group's response while another has one; rows that repeat an id get a record
-each; an empty table gives no bundles.
+each, and copies are told from the response by id, so all rows with its id are responses; ties are thus decided by id alone; a
+very long page is a frame of its own; an empty table gives no bundles; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ FRAME_BYTES, BUNDLE_BYTES, LEAST_PAYLOAD, LEVEL = 256 << 10, 4 << 20, 1000, 3
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
-BUNDLES = "bundle_id string, data binary, index array<struct<record_id:string,frame:int,offset:int,length:int>>"
+INDEX = "page_id long, object string, frame_at long, frame_bytes long, frame_size long, offset long, length long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -73,68 +77,92 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 class Bundle:
-    """Collects records into frames; finish() gives the file and its index."""
+    """Collects records into frames and writes each frame to a stream when it is full; holds one frame. finish() writes the
+    seek table."""
 
-    def __init__(self) -> None:
+    def __init__(self, stream) -> None:
         import zstandard
 
-        self._zstd = zstandard.ZstdCompressor(level=LEVEL)
-        self.frames: list[bytes] = []
+        self._stream, self._zstd = stream, zstandard.ZstdCompressor(level=LEVEL)
         self.sizes: list[tuple[int, int]] = []
-        self.index: list[tuple[str, int, int, int]] = []
-        self._open, self._length, self.bytes = [], 0, 0
+        self._open, self._places, self._length, self.bytes = [], [], 0, 0
 
-    def add(self, name: str, data: bytes) -> None:
-        self.index.append((name, len(self.frames), self._length, len(data)))
+    def add(self, page_id: int | None, data: bytes) -> Iterator[tuple]:
+        """Index rows (page_id, frame_at, frame_bytes, frame_size, offset, length) of the frame that this fills, if it does."""
+        self._places.append((page_id, self._length, len(data)))
         self._open.append(data)
         self._length += len(data)
         if self._length >= FRAME_BYTES:
-            self._close()
+            yield from self._close()
 
-    def _close(self) -> None:
+    def _close(self) -> Iterator[tuple]:
         if self._open:
             frame = self._zstd.compress(b"".join(self._open))
-            self.frames.append(frame)
-            self.sizes.append((len(frame), self._length))
+            self._stream.write(frame)
+            at, size, places = self.bytes, self._length, self._places
+            self.sizes.append((len(frame), size))
             self.bytes += len(frame)
-            self._open, self._length = [], 0
+            self._open, self._places, self._length = [], [], 0
+            for page_id, offset, length in places:
+                yield page_id, at, len(frame), size, offset, length
 
-    def finish(self) -> tuple[bytes, list[tuple[str, int, int, int]]]:
-        self._close()
+    def finish(self) -> Iterator[tuple]:
+        yield from self._close()
         seek = b"".join(struct.pack("<II", *s) for s in self.sizes) + struct.pack("<IBI", len(self.sizes), 0, SEEKABLE)
-        return b"".join([*self.frames, struct.pack("<II", SKIPPABLE, len(seek)), seek]), self.index
+        self._stream.write(struct.pack("<II", SKIPPABLE, len(seek)) + seek)
 
 
-def seek_table(data: bytes) -> list[tuple[int, int, int]]:
-    """(offset, compressed size, size) of every frame, from the footer."""
-    n, descriptor, magic = struct.unpack("<IBI", data[-9:])
+def seek_table(f, size: int) -> list[tuple[int, int, int]]:
+    """(offset, compressed size, size) of every frame of an object of `size` bytes, from its end."""
+    n, descriptor, magic = struct.unpack("<IBI", read_at(f, size - 9, 9))
     entry = 12 if descriptor & 0x80 else 8
-    if magic != SEEKABLE or struct.unpack("<II", data[(at := len(data) - 9 - n * entry - 8) : at + 8]) != (SKIPPABLE, n * entry + 9):
+    if magic != SEEKABLE:
+        raise ValueError("no seek table")
+    at = size - 9 - n * entry - 8
+    table_ = read_at(f, at, 8 + n * entry)
+    if struct.unpack_from("<II", table_) != (SKIPPABLE, n * entry + 9):
         raise ValueError("no seek table")
     out, offset = [], 0
     for k in range(n):
-        packed, size = struct.unpack_from("<II", data, at + 8 + k * entry)
-        out.append((offset, packed, size))
+        packed, plain = struct.unpack_from("<II", table_, 8 + k * entry)
+        out.append((offset, packed, plain))
         offset += packed
     return out
 
 
-def frame(data: bytes, number: int) -> bytes:
-    """One frame's records; the others are not read."""
+def read_at(f, at: int, n: int) -> bytes:
+    f.seek(at)
+    return f.read(n)
+
+
+def frame(f, at: int, packed: int, size: int) -> bytes:
+    """One frame's records; nothing else of the object is read."""
     import zstandard
 
-    offset, packed, size = seek_table(data)[number]
-    return zstandard.ZstdDecompressor().decompress(data[offset : offset + packed], max_output_size=size)
+    return zstandard.ZstdDecompressor().decompress(read_at(f, at, packed), max_output_size=size)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    for k in range(len(seek_table(data))):
-        part, at = frame(data, k), 0
+def records(f, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    for place in seek_table(f, size):
+        part, at = frame(f, *place), 0
         while at < len(part):
             headers, block, at = parse_record(part, at)
             yield headers, block
 
 
+def storage(path: str):
+    """The Arrow file system of a path or URI, and the path in it."""
+    import os
+
+    from pyarrow import fs
+
+    if "://" not in path and not path.startswith("file:"):
+        path = os.path.abspath(path)
+    elif path.startswith("file:"):
+        path = "file://" + path.removeprefix("file:").removeprefix("//")
+    return fs.FileSystem.from_uri(path)
+
+
 def with_revisits(df: DataFrame) -> DataFrame:
     """page_id, url, html and refers_to (null for responses) of pages."""
     pages = df.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -145,58 +173,70 @@ def with_revisits(df: DataFrame) -> DataFrame:
     return of.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
 
-def bundles(df: DataFrame) -> DataFrame:
-    """BUNDLES of pages (page_id, url, html, refers_to); each holds about BUNDLE_BYTES."""
+def write_bundles(df: DataFrame, path: str) -> None:
+    """Pages (page_id, url, html) as objects under path/objects, each of about BUNDLE_BYTES, and their INDEX in path/index."""
+    names = [c.split()[0] for c in INDEX.split(", ")]
 
     def rows(batches):
-        now, task = Bundle(), uuid.uuid4().hex
+        files, root = storage(path)
+        files.create_dir(f"{root}/objects", recursive=True)
+        task, done, now, stream, out = uuid.uuid4().hex, 0, None, None, []
 
-        def row(k):
-            data, index = now.finish()
-            return {"bundle_id": [f"{task}-{k}"], "data": [data], "index": [[dict(zip(("record_id", "frame", "offset", "length"), x)) for x in index]]}
+        def take(places):
+            out.extend((p[0], f"{task}-{done}.warc.zst", *p[1:]) for p in places)
 
-        done = 0
         for batch in batches:
             for page, url, html, refers in zip(*(batch.column(k) for k in range(4))):
-                now.add(record_id(page.as_py()), record(page.as_py(), url.as_py(), html.as_py().encode(), refers.as_py()))
+                if now is None:
+                    stream = files.open_output_stream(f"{root}/objects/{task}-{done}.warc.zst", compression=None)
+                    now = Bundle(stream)
+                take(now.add(page.as_py(), record(page.as_py(), url.as_py(), html.as_py().encode(), refers.as_py())))
                 if now.bytes >= BUNDLE_BYTES:
-                    yield row(done)
-                    now, done = Bundle(), done + 1
-        if now.index:
-            yield row(done)
-
-    return map_batches(df, rows, BUNDLES)
+                    take(now.finish())
+                    stream.close()
+                    now, done = None, done + 1
+                    yield dict(zip(names, map(list, zip(*out))))
+                    out = []
+        if now is not None:
+            take(now.finish())
+            stream.close()
+            yield dict(zip(names, map(list, zip(*out))))
 
-
-def write_bundles(df: DataFrame, path: str) -> None:
-    """Pages (page_id, url, html) as bundles under path."""
-    bundles(with_revisits(df)).write.parquet(path)
+    map_batches(with_revisits(df), rows, INDEX).write.parquet(f"{path}/index")
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """RECORDS of all bundles under path; payloads are checked against their digests."""
+    """RECORDS of all bundles under path that the index names; payloads are checked against their digests."""
 
     def rows(batches):
+        files, root = storage(path)
         for batch in batches:
-            for data in batch.column(0):
-                out = []
-                for headers, block in records(data.as_py()):
-                    http, payload = block.split(b"\r\n\r\n", 1)
-                    revisit = headers["WARC-Type"] == "revisit"
-                    n = int(http.rsplit(b"Content-Length: ", 1)[1])
-                    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if not revisit and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
-                        raise ValueError(f"{headers['WARC-Record-ID']}: the payload is damaged")
-                    out.append((id_of(headers["WARC-Record-ID"]), n, digest, headers["WARC-Type"], id_of(headers["WARC-Refers-To"]) if revisit else None))
+            for name in batch.column(0).to_pylist():
+                at, out = f"{root}/objects/{name}", []
+                with files.open_input_file(at) as f:
+                    for headers, block in records(f, f.size()):
+                        http, payload = block.split(b"\r\n\r\n", 1)
+                        revisit = headers["WARC-Type"] == "revisit"
+                        n = int(http.rsplit(b"Content-Length: ", 1)[1])
+                        digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if not revisit and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
+                            raise ValueError(f"{headers['WARC-Record-ID']}: the payload is damaged")
+                        out.append((id_of(headers["WARC-Record-ID"]), n, digest, headers["WARC-Type"], id_of(headers["WARC-Refers-To"]) if revisit else None))
                 yield dict(zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), map(list, zip(*out))))
 
-    return map_batches(spark.read.parquet(path).select("data"), rows, RECORDS)
+    objects = spark.read.parquet(f"{path}/index").select("object").distinct()
+    return map_batches(objects, rows, RECORDS)
 
 
 def lookup(spark: SparkSession, path: str, page_ids: list[int]) -> list[tuple[int, dict[str, str], bytes]]:
-    """(page_id, headers, block) of some pages: the index names bundle, frame and offset, and one frame is unpacked."""
-    rows = spark.read.parquet(path).select("data", F.explode("index").alias("at")).where(F.col("at.record_id").isin([record_id(p) for p in page_ids]))
-    return [(id_of(r.at.record_id), *parse_record(frame(bytes(r.data), r.at.frame), r.at.offset)[:2]) for r in rows.toLocalIterator()]
+    """(page_id, headers, block) of some pages: a filter on the index, which reaches its scan, then one frame of an object
+    for each record."""
+    files, root = storage(path)
+    out = []
+    for r in spark.read.parquet(f"{path}/index").where(F.col("page_id").isin(page_ids)).toLocalIterator():
+        with files.open_input_file(f"{root}/objects/{r.object}") as f:
+            out.append((r.page_id, *parse_record(frame(f, r.frame_at, r.frame_bytes, r.frame_size), r.offset)[:2]))
+    return out
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

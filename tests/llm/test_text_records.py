@@ -176,17 +176,34 @@ def test_warc(spark, tmp_path):
         assert headers["WARC-Type"] == "response" and block.split(b"\r\n\r\n", 1)[1].decode() == html[p]
 
 
+def test_a_lookup_reads_one_frame(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 5000)
+    rows = [(k, "u", f"{k} " + "".join(chr(97 + (k * j) % 26) for j in range(3000))) for k in range(60)]
+    warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    (index,) = spark.read.parquet(str(tmp_path / "w/index")).where("page_id = 17").collect()
+    read, own = [], warc.read_at
+    monkeypatch.setattr(warc, "read_at", lambda f, at, n: read.append((at, n)) or own(f, at, n))
+    ((page, _, block),) = warc.lookup(spark, str(tmp_path / "w"), [17])
+    assert (page, block.split(b"\r\n\r\n", 1)[1].decode()) == (17, rows[17][2])
+    assert read == [(index.frame_at, index.frame_bytes)]
+
+
 def test_bundle_frames_stand_alone():
+    import io
+
     import zstandard
 
-    b = warc.Bundle()
-    data = {f"r{k}": bytes([k % 250]) * (k * 37 % 9000) + b"!" for k in range(200)}
-    for name, d in data.items():
-        b.add(name, d)
-    whole, index = b.finish()
-    assert len(warc.seek_table(whole)) > 2
-    for name, number, at, n in index:
-        assert warc.frame(whole, number)[at : at + n] == data[name]
+    whole, index = io.BytesIO(), []
+    b = warc.Bundle(whole)
+    data = [bytes([k % 250]) * (k * 37 % 9000) + b"!" for k in range(200)]
+    for k, d in enumerate(data):
+        index.extend(b.add(k, d))
+    index.extend(b.finish())
+    size = len(whole.getvalue())
+    assert len(warc.seek_table(whole, size)) > 2 and len(index) == 200
+    for k, at, packed, plain, offset, n in index:
+        assert (at, packed, plain) in warc.seek_table(whole, size)
+        assert warc.frame(whole, at, packed, plain)[offset : offset + n] == data[k]
     # the file is an ordinary Zstandard stream: any reader skips the seek table
-    out = zstandard.ZstdDecompressor().stream_reader(whole, read_across_frames=True).read()
-    assert out == b"".join(data.values())
+    out = zstandard.ZstdDecompressor().stream_reader(whole.getvalue(), read_across_frames=True).read()
+    assert out == b"".join(data)
