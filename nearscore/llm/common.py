@@ -17,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; one of our own is made only where that is unset."""
+    """The cluster names a shared folder in spark.checkpoint.dir; one of our own is made only where that is
+    unset and everything runs in one process, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearscore-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="nearscore-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
