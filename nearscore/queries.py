@@ -25,7 +25,8 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 
 EMBEDDING_DIMS, EVENT_DIMS = 64, len(FEATURES)
-E_CLUSTERS, E_PROBES, V_CLUSTERS, V_PROBES = 16, 4, 64, 8
+# the embeddings have hardly any clusters: 12 probes of 16 find 0.944 and 0.924 of the true neighbours at sf0.01 and sf0.1
+E_CLUSTERS, E_PROBES, V_CLUSTERS, V_PROBES = 16, 12, 64, 8
 
 
 def query(sql: str | None = None):
@@ -527,4 +528,3 @@ def kmeans_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("nprobe", "queries", F.round("recall", 6).alias("recall"))
 
 
-PAYLOAD_SCHEMA = PAYLOAD

@@ -39,7 +39,9 @@ def load(spark: SparkSession, payloads: list[str], n: int) -> DataFrame:
 
 
 def read_payload_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.text(path).withColumnRenamed("value", "payload")
+    """query_id, payload: a stream of files of requests, one on a line. The id is a hash of file and line, the same if a batch
+    is read again; equal lines of a file share it, and their answers are equal."""
+    return spark.readStream.text(path).select(F.xxhash64("_metadata.file_path", "value").alias("query_id"), F.col("value").alias("payload"))
 
 
 def write_payload_lines(df: DataFrame, path: str) -> None:

@@ -31,6 +31,10 @@ def test_query_equals_its_sql(spark, duck, name):
     assert ((a == b) | (a.isna() & b.isna())).all().all()
 
 
+def test_recall_of_the_embeddings_index(spark):
+    assert engine.recall_at_5(spark, SF).first().recall >= 0.9
+
+
 def test_queries_without_sql(spark):
     rows = engine.kmeans_ivf_recall(spark, SF).collect()
     assert [r.recall for r in sorted(rows, key=lambda r: r.nprobe)][-1] >= 0.97

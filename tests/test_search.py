@@ -15,6 +15,7 @@ from nearscore.plans.scoring import ScoringContext, score, score_vectors
 from nearscore.queries import F1, network
 from nearscore.sources import index_io, model_file, payloads, references
 from nearscore.sources import tables as T
+from nearscore.functions import scalars as S
 from nearscore.streaming.score_stream import parquet_sink, ready, score_stream
 
 SF = "/root/testdata/sf0.001"
@@ -186,6 +187,10 @@ def test_network_paths_agree_and_training_learns(refs):
     net = mlp.train_relu_network(refs, (16,), epochs=150, batch=64, rate=5e-3, held_out=0.1)
     got = analytics.accuracy(mlp.predict(refs, net).withColumn("p", (F.col("probability") >= 0.5).cast("int")), "p", "is_fraud").first()
     assert got.accuracy > 0.97
+    # a label that the vectors do not tell: the stored threshold leaves rows to the neighbours
+    unclear = refs.withColumn("is_fraud", F.when(F.col("ref_id") % 7 == 0, 1 - F.col("is_fraud")).otherwise(F.col("is_fraud")))
+    net = mlp.train_relu_network(unclear, (8,), epochs=5, batch=64, rate=5e-3, held_out=0.3)
+    assert net.threshold > 0 and mlp.predict(unclear, net).where(S.confidence(F.col("probability")) < net.threshold).count() > 0
     model = mlp.train_forest(refs, trees=10, depth=6)
     from pyspark.ml.functions import array_to_vector
 
