@@ -21,7 +21,8 @@ documents; beyond, buckets grow with the corpus.) Nothing is capped:
    shingles than either has in common with all other open nodes, which gives each a largest set that it could be similar
    enough to (Corpus.reach). It is exact, and leaves few of a family that shares a template just below the similarity.
 3. Open nodes with a reach name partners in all tables; then all collisions of open nodes in different components, within
-   reach of each other, are verified, whatever the size of the bucket.
+   reach of each other, are verified, whatever the size of the bucket. Each pair comes from the first table in which it
+   collides, and 512 further bits that only open nodes have sort out most that are not similar enough.
 
 Buckets over HOT rows are split with salts (Balls). What remains quadratic is exact verification of texts that are nearly
 similar enough, in different components, and made of each other's shingles.
@@ -53,6 +54,8 @@ SIGMAS = 3.5
 #: Tables of the first round; pairs in buckets up to WIDE rows are found together, in larger ones by ROWS rows at a time;
 #: buckets over HOT rows are split. Keys have less than KEY_BITS bits, salts the rest. SEEN ids are held in a task at most.
 FIRST, WIDE, ROWS, HOT, KEY_BITS, SEEN = 2, 64, 256, 2048, 46, 1 << 20
+#: Open nodes have so many times 64 further bits, which pairs are looked at by before they are verified.
+FURTHER = 8
 
 
 def shingle_hashes(text: str | None, words: int):
@@ -146,20 +149,29 @@ def shingle_set(text: str | None, words: int):
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
+def majority_bits(shingles, k: int):
+    """The k-th 64 bits of a set: 1 where over half of its shingles' k-th hashes have a 1."""
+    import numpy as np
+
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), BLOCK):
+        h = _spread(shingles[at : at + BLOCK], k)
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * total > len(shingles)
+
+
+def majority(shingles, k: int, kind: str) -> int:
+    import numpy as np
+
+    return int(np.packbits(majority_bits(shingles, k), bitorder="little").view(kind)[0])
+
+
 def signature(shingles, tables: int, bits: int) -> tuple[int, list[int]]:
     """64 check bits and a fingerprint of `bits` bits for each table, over a set of shingle hashes."""
     import numpy as np
 
-    ones = []
-    for k in range(1 + -(-tables * bits // 64)):
-        total = np.zeros(64, np.int64)
-        for at in range(0, len(shingles), BLOCK):
-            h = _spread(shingles[at : at + BLOCK], k)
-            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        ones.append(2 * total > len(shingles))
-    check = int(np.packbits(ones[0], bitorder="little").view("<i8")[0])
-    rest = np.concatenate(ones[1:])[: tables * bits].reshape(tables, bits)
-    return check, [int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little") for row in rest]
+    rest = np.concatenate([majority_bits(shingles, k) for k in range(1, 1 + -(-tables * bits // 64))])[: tables * bits].reshape(tables, bits)
+    return majority(shingles, 0, "<i8"), [int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little") for row in rest]
 
 
 def signatures(texts: DataFrame, words: int, tables: int, bits: int) -> DataFrame:
@@ -211,7 +223,7 @@ class Buckets:
 
         if not self.more or not len(a):
             return a, b
-        tables = self.more[2]
+        tables = self.more[2]  # and further bits behind them
         d = np.bitwise_count(tables[a] ^ tables[b]).astype(np.int64)
         t = (self.key[a] & ((1 << KEY_BITS) - 1)) >> self.bits
         earlier = ((d <= RADIUS) & (np.arange(tables.shape[1])[None] < t[:, None])).any(axis=1)
@@ -275,7 +287,7 @@ def by_key(batches, n: int):
         now = [batch.column(k).to_numpy() for k in range(min(n, 8))]
         now[3] = now[3].view("u8")
         if n > 8:
-            now.append(batch.column(8).flatten().to_numpy().reshape(batch.num_rows, -1))
+            now.append(batch.column(8).flatten().to_numpy().view("u8").reshape(batch.num_rows, -1))
         held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         if end := int(np.searchsorted(held[0], held[0][-1], "left")):
             yield [x[:end] for x in held]
@@ -335,7 +347,7 @@ class Balls:
 
     def __init__(self, nodes: DataFrame, tables: int, bits: int, hot_rows: int = 0):
         self.bits, hot_rows = bits, hot_rows or HOT
-        self.others = min(tables - 1, 63 // bits)
+        self.tables, self.others = tables, min(tables - 1, 63 // bits)
         self.masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(bits)))
         own = nodes.select("id", F.posexplode("tables").alias("t", "value"))
         heavy = own.groupBy("t", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where(F.col("n") > hot_rows // (bits + 1))
@@ -361,7 +373,7 @@ class Balls:
         # 64 bits more of a row are those of the tables that follow its own
         other = F.lit(0).cast("long")
         for k in range(self.others):
-            other = other.bitwiseOR(F.shiftleft(F.element_at("tables", F.pmod(F.col("t") + 1 + k, F.size("tables")) + 1), self.bits * k))
+            other = other.bitwiseOR(F.shiftleft(F.element_at("tables", F.pmod(F.col("t") + 1 + k, F.lit(self.tables)) + 1), self.bits * k))
         each = each.select("id", "check", other.alias("other"), *more, "t", "value").select("*", F.explode(self.masks).alias("mask"))
         each = each.select(self._key("t", "value", F.col("mask")), "mask", "id", "check", "other", *more)
         label = F.col("label") if "label" in more else F.col("id").alias("label")
@@ -380,11 +392,15 @@ class Balls:
         return spread.select(key, "mask", "id", "check", "other", label, *more[1:])
 
 
+def ends(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.select(F.col("u").alias(name)).union(pairs.select(F.col("v").alias(name)))
+
+
 def hub_pairs(tried: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """u > v: where a tried pair lies in two components of links, each of the two with the other component's hub, the
     document with the most links, and both hubs. In a group of copies that is the one they were made from, or near it."""
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    hubs = labels.join(ends, "node").groupBy("label").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("hub"))
+    degrees = ends(links, "node").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    hubs = labels.join(degrees, "node").groupBy("label").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("hub"))
     of = cut(labels.join(hubs, "label").select("node", "label", "hub"))
     a, b = (of.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("hub").alias(f"hub_{x}")) for x in "uv")
     both = tried.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v"))
@@ -411,18 +427,20 @@ class Corpus:
         p = bit_chance(self.similarity)
         return math.floor(width * p + SIGMAS * math.sqrt(width * p * (1 - p)))
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """id and shingles of nodes. ids: materialised."""
-        words = self.words
+    def sets(self, ids: DataFrame, further: int = 0) -> DataFrame:
+        """id and shingles of nodes, and in `further` so many times 64 further bits. ids: materialised."""
+        words, first = self.words, 1 + -(-self.tables * self.bits // 64)
 
         def rows(batches):
             for batch in batches:
-                yield {"id": batch.column(0), "shingles": [shingle_set(t.as_py(), words).view("i8").tolist() for t in batch.column(1)]}
+                sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+                more = [[majority(x, first + k, "<i8") for k in range(further)] for x in sets]
+                yield {"id": batch.column(0), "shingles": [x.view("i8").tolist() for x in sets], "further": more}
 
         wanted = small(cut(self.nodes.join(small(ids, 16), "id").select("sha", "id", "least_id")), 64)
         # one row of each text: the one with its least id (a repeated row gives its set twice, which distinct ids undo)
         texts = self.texts.withColumnRenamed("id", "least_id").withColumn("sha", F.unhex(F.sha2("text", 256))).join(wanted, ["sha", "least_id"])
-        return map_batches(texts.select("id", "text"), rows, "id long, shingles array<long>")
+        return map_batches(texts.select("id", "text"), rows, "id long, shingles array<long>, further array<long>")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (u, v) that are similar enough, exactly, after a look at all bits."""
@@ -431,7 +449,7 @@ class Corpus:
             F.zip_with("tables_u", "tables_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
         )
         pairs = cut(pairs.join(a, "u").join(b, "v").where(differing <= self.most(64 + self.tables * self.bits)).select("u", "v"))
-        sets = cut(self.sets(cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())))
+        sets = cut(self.sets(cut(ends(pairs, "id").distinct())))
         a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
         both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("set_u", "set_v")))
         exact = F.col("shared") / (F.size("set_u") + F.size("set_v") - F.col("shared"))
@@ -446,25 +464,27 @@ class Corpus:
         return self.nodes.join(small(labels, 24), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
     def reach(self, ids: DataFrame) -> DataFrame:
-        """id and reach of nodes: the largest set with which they could be similar enough, if all the shingles that they
+        """id, reach and FURTHER bits of nodes. reach: the largest set with which they could be similar enough, if all the shingles that they
         have in common with any other of these nodes were in it. Only nodes that can reach a set as small as they allow.
 
         Sets of a and b shingles at a similarity s or more share at least s / (1 + s) * (a + b), and a node cannot
         share more than it has in common with all others; so b is at most common * (1 + s) / s - a."""
         s = self.similarity
-        each = cut(self.sets(ids)).select("id", F.explode("shingles").alias("shingle"))
+        sets = cut(self.sets(ids, FURTHER))
+        each = sets.select("id", F.explode("shingles").alias("shingle"))
         several = cut(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"))
         common = each.join(several, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("common"))
         reach = F.floor(F.col("common") * ((1 + s) / s) - F.col("size") + 1e-6).cast("long")
         out = common.join(self.nodes.select("id", "size"), "id").withColumn("reach", reach)
-        return cut(out.where(F.col("reach") >= F.floor(F.col("size") * s)).select("id", "reach"))
+        out = out.where(F.col("reach") >= F.floor(F.col("size") * s)).select("id", "reach")
+        return cut(out.join(sets.select("id", "further").dropDuplicates(["id"]), "id"))
 
 
 def near_links(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
     """u > v: pairs of nodes whose shingle sets have at least the similarity, enough of them to connect all nodes that such
     pairs connect. The module's text tells of the rounds."""
     nodes, balls = corpus.nodes, Balls(corpus.nodes, corpus.tables, corpus.bits, hot_rows)
-    most, most_of_all = corpus.most(64 + balls.others * corpus.bits), corpus.most(64 + corpus.tables * corpus.bits)
+    most, most_of_all = corpus.most(64 + balls.others * corpus.bits), corpus.most(64 * (1 + FURTHER) + corpus.tables * corpus.bits)
     find = lambda rows, what: in_buckets(rows, corpus.bits, most, most_of_all, what)
     # 1: partners in a few tables, then hubs
     tried = cut(find(balls.rows(nodes, FIRST), "partners"))
@@ -475,17 +495,18 @@ def near_links(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
     labelled = cut(corpus.labelled(links))
     label = labelled.select("id", "label")
     apart = tried.join(label.toDF("u", "label_u"), "u").join(label.toDF("v", "label_v"), "v").where("label_u <> label_v")
-    known = cut(apart.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    known = cut(ends(apart, "id").distinct())
     open_ = paired(balls.rows(labelled), corpus.bits, most, known)
     open_ = cut(open_.union(balls.in_hot(labelled)).distinct() if balls.any_hot else open_)
     release(nodes.sparkSession)
-    reach = small(corpus.reach(open_), 24)
+    reach = small(corpus.reach(open_), 24 + 8 * FURTHER)
+    able = lambda nodes: cut(nodes.join(reach, "id").withColumn("tables", F.concat("tables", "further")).drop("further"))
     release(nodes.sparkSession)
     # 3: their partners in all tables, then all collisions that are left
-    partners = find(balls.rows(cut(labelled.join(reach, "id"))), "partners")
+    partners = find(balls.rows(able(labelled), corpus.tables), "partners")
     partners = cut(partners.join(tried, ["u", "v"], "left_anti"))
     links, tried = cut(links.union(corpus.verified(partners))), tried.union(partners)
-    rest = find(balls.rows(cut(corpus.labelled(links).join(reach, "id"))), "all")
+    rest = find(balls.rows(able(corpus.labelled(links)), corpus.tables), "all")
     return links.union(corpus.verified(cut(rest.join(tried, ["u", "v"], "left_anti"))))
 
 
