@@ -3,7 +3,8 @@
 Statistics of whole texts are counted in one pass. The list is learned from labelled rows by sequential covering: a
 rule for "reject" is grown on two thirds of the rows, a threshold at a time (the one with the most information gained
 over the rows still covered), then pruned from its end while that does not lower its worth on the other third; rows
-that it covers are taken out, and the next rule begins, until no rule is right more often than wrong. The list comes
+that it covers are taken out, and the next rule begins, until a rule is right for less than `least` of its rows (0.6), or there are `most_rules` (12);
+a rule has at most `most_conditions` (4). The list comes
 out as one ordered Spark expression, CASE WHEN rule THEN false ... ELSE true, which the engine compiles.
 
 Labelled rows are drawn by a hash of their id, about SAMPLE at most; that is the only bound, and it holds only for the
