@@ -15,13 +15,12 @@ from the number of documents (buckets hold a few rows at every size), their numb
 documents; beyond, buckets grow with the corpus.) Nothing is capped:
 
 1. Equal texts are one node. In the first tables each row names one partner in its bucket, the one with most collisions
-   there, so a group of copies meets what it was made from: a row for each row of a bucket, never a row for each pair. Tried
-   pairs that lie in two components are tried again with the hubs, the best-linked nodes, of both.
+   there, so a group of copies meets what it was made from: a row for each row of a bucket, never a row for each pair.
 2. In all tables, nodes that still collide with a node of another component are open. A pair shares no more
    shingles than either has in common with all other open nodes, which gives each a largest set that it could be similar
    enough to (Corpus.reach). It is exact, and leaves few of a family that shares a template just below the similarity.
-3. Open nodes with a reach name partners in all tables; then all collisions of open nodes in different components, within
-   reach of each other, are verified, whatever the size of the bucket. Each pair comes from the first table in which it
+3. All collisions in all tables of open nodes with a reach, in different components and within reach of each other, are
+   verified, whatever the size of the bucket. Each pair comes from the first table in which it
    collides, and 512 further bits that only open nodes have sort out most that are not similar enough.
 
 Buckets over HOT rows are split with salts (Balls). What remains quadratic is exact verification of texts that are nearly
@@ -42,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearscore.llm.common import components, cut, free_names, map_batches, release, small, table
+from nearscore.llm.common import BROADCAST_BYTES, components, cut, free_names, map_batches, release, small, table
 
 SEED = 42
 RADIUS = 2
@@ -296,8 +295,23 @@ def by_key(batches, n: int):
         yield held
 
 
-def in_buckets(rows: DataFrame, bits: int, most: int, most_of_all: int, what: str) -> DataFrame:
-    """u > v: what Buckets finds (partners or all) in rows with its columns."""
+def _matrix(of_nodes: DataFrame):
+    """A broadcast of the ids of nodes, ascending, and their tables as a matrix; None if they are not under BROADCAST_BYTES."""
+    import numpy as np
+
+    width = of_nodes.select(F.size("tables")).first()
+    if not width or of_nodes.count() * 8 * (width[0] + 1) > BROADCAST_BYTES:
+        return None
+    got = of_nodes.toArrow().combine_chunks().sort_by("id")
+    tables = got["tables"].combine_chunks().flatten().to_numpy().view("u8").reshape(len(got), -1)
+    return of_nodes.sparkSession.sparkContext.broadcast((got["id"].to_numpy().copy(), np.ascontiguousarray(tables)))
+
+
+def in_buckets(rows: DataFrame, bits: int, most: int, most_of_all: int, what: str, of_nodes: DataFrame | None = None) -> DataFrame:
+    """u > v: what Buckets finds (partners or all) in rows with its columns. of_nodes: id and tables of the nodes, materialised; if
+    they stay under BROADCAST_BYTES they are sent to the tasks once, in place of a copy in each of a node's rows."""
+    sent = _matrix(of_nodes) if of_nodes else None
+    rows = rows.drop("tables") if sent else rows
     n = len(rows.columns)
 
     def run(batches):
@@ -305,6 +319,9 @@ def in_buckets(rows: DataFrame, bits: int, most: int, most_of_all: int, what: st
         import pyarrow as pa
 
         for columns in by_key(batches, n):
+            if sent:
+                ids, tables = sent.value
+                columns.append(tables[np.searchsorted(ids, columns[2])])
             for a, b in getattr(Buckets(columns, bits, most, most_of_all), what)():
                 yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))}
 
@@ -396,20 +413,6 @@ def ends(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.select(F.col("u").alias(name)).union(pairs.select(F.col("v").alias(name)))
 
 
-def hub_pairs(tried: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """u > v: where a tried pair lies in two components of links, each of the two with the other component's hub, the
-    document with the most links, and both hubs. In a group of copies that is the one they were made from, or near it."""
-    degrees = ends(links, "node").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    hubs = labels.join(degrees, "node").groupBy("label").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("hub"))
-    of = cut(labels.join(hubs, "label").select("node", "label", "hub"))
-    a, b = (of.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("hub").alias(f"hub_{x}")) for x in "uv")
-    both = tried.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v"))
-    hub_u, hub_v = F.coalesce("hub_u", "u"), F.coalesce("hub_v", "v")
-    pair = lambda x, y: F.struct(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-    more = both.select(F.explode(F.array_distinct(F.array(pair(F.col("u"), hub_v), pair(hub_u, F.col("v")), pair(hub_u, hub_v)))).alias("p")).select("p.u", "p.v")
-    return more.where("u <> v").distinct()
-
-
 class Corpus:
     """Distinct texts with words as nodes: their signatures, and their shingle sets when asked for."""
 
@@ -442,14 +445,13 @@ class Corpus:
         texts = self.texts.withColumnRenamed("id", "least_id").withColumn("sha", F.unhex(F.sha2("text", 256))).join(wanted, ["sha", "least_id"])
         return map_batches(texts.select("id", "text"), rows, "id long, shingles array<long>, further array<long>")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (u, v) that are similar enough, exactly, after a look at all bits."""
-        a, b = (self.nodes.select(F.col("id").alias(x), F.col("check").alias(f"check_{x}"), F.col("tables").alias(f"tables_{x}")) for x in "uv")
-        differing = F.bit_count(F.col("check_u").bitwiseXOR(F.col("check_v"))) + F.aggregate(
-            F.zip_with("tables_u", "tables_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-        )
-        pairs = cut(pairs.join(a, "u").join(b, "v").where(differing <= self.most(64 + self.tables * self.bits)).select("u", "v"))
+    def verified(self, pairs: DataFrame, looked: bool = False) -> DataFrame:
+        """Those of pairs (u, v) that are similar enough, exactly, after a look at all bits unless these were looked at before."""
+        pairs = pairs if looked else self.near_in_bits(pairs)
         sets = cut(self.sets(cut(ends(pairs, "id").distinct())))
+        # sets under the limit go to the pairs; beyond it pairs and sets are shuffled
+        total = sets.agg(F.sum(F.size("shingles") * 8 + 64)).first()[0] or 0
+        sets = F.broadcast(sets) if total <= BROADCAST_BYTES else sets
         a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "uv")
         both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("set_u", "set_v")))
         exact = F.col("shared") / (F.size("set_u") + F.size("set_v") - F.col("shared"))
@@ -458,6 +460,14 @@ class Corpus:
         release(self.nodes.sparkSession)
         return links
 
+    def near_in_bits(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (u, v) that differ in few enough of all bits."""
+        a, b = (self.nodes.select(F.col("id").alias(x), F.col("check").alias(f"check_{x}"), F.col("tables").alias(f"tables_{x}")) for x in "uv")
+        differing = F.bit_count(F.col("check_u").bitwiseXOR(F.col("check_v"))) + F.aggregate(
+            F.zip_with("tables_u", "tables_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+        )
+        return cut(pairs.join(a, "u").join(b, "v").where(differing <= self.most(64 + self.tables * self.bits)).select("u", "v"))
+
     def labelled(self, links: DataFrame) -> DataFrame:
         """nodes with the label of their component, their own id if they have no link."""
         labels = components(links).withColumnRenamed("node", "id")
@@ -485,12 +495,9 @@ def near_links(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
     pairs connect. The module's text tells of the rounds."""
     nodes, balls = corpus.nodes, Balls(corpus.nodes, corpus.tables, corpus.bits, hot_rows)
     most, most_of_all = corpus.most(64 + balls.others * corpus.bits), corpus.most(64 * (1 + FURTHER) + corpus.tables * corpus.bits)
-    find = lambda rows, what: in_buckets(rows, corpus.bits, most, most_of_all, what)
-    # 1: partners in a few tables, then hubs
-    tried = cut(find(balls.rows(nodes, FIRST), "partners"))
+    # 1: partners in a few tables
+    tried = cut(in_buckets(balls.rows(nodes, FIRST), corpus.bits, most, most_of_all, "partners"))
     links = corpus.verified(tried)
-    hubs = cut(hub_pairs(tried, links, components(links)).join(tried, ["u", "v"], "left_anti"))
-    links, tried = cut(links.union(corpus.verified(hubs))), tried.union(hubs)
     # 2: nodes with collisions outside their component, and of these the ones that can be similar enough to any other
     labelled = cut(corpus.labelled(links))
     label = labelled.select("id", "label")
@@ -500,14 +507,11 @@ def near_links(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
     open_ = cut(open_.union(balls.in_hot(labelled)).distinct() if balls.any_hot else open_)
     release(nodes.sparkSession)
     reach = small(corpus.reach(open_), 24 + 8 * FURTHER)
-    able = lambda nodes: cut(nodes.join(reach, "id").withColumn("tables", F.concat("tables", "further")).drop("further"))
+    able = cut(labelled.join(reach, "id").withColumn("tables", F.concat("tables", "further")).drop("further"))
     release(nodes.sparkSession)
-    # 3: their partners in all tables, then all collisions that are left
-    partners = find(balls.rows(able(labelled), corpus.tables), "partners")
-    partners = cut(partners.join(tried, ["u", "v"], "left_anti"))
-    links, tried = cut(links.union(corpus.verified(partners))), tried.union(partners)
-    rest = find(balls.rows(able(corpus.labelled(links)), corpus.tables), "all")
-    return links.union(corpus.verified(cut(rest.join(tried, ["u", "v"], "left_anti"))))
+    # 3: all their collisions that are left
+    rest = in_buckets(balls.rows(able), corpus.bits, most, most_of_all, "all", able.select("id", "tables"))
+    return links.union(corpus.verified(cut(rest.join(tried, ["u", "v"], "left_anti")), looked=True))
 
 
 def near_classes(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, hot_rows: int = 0) -> DataFrame:
