@@ -21,7 +21,7 @@ documents; beyond, buckets grow with the corpus.) Nothing is capped:
    enough to (Corpus.reach). It is exact, and leaves few of a family that shares a template just below the similarity.
 3. All collisions in all tables of open nodes with a reach, in different components and within reach of each other, are
    verified, whatever the size of the bucket. Each pair comes from the first table in which it
-   collides, and 512 further bits that only open nodes have sort out most that are not similar enough.
+   collides, and 2,048 further bits that only open nodes have sort out most that are not similar enough.
 
 Buckets over HOT rows are split with salts (Balls). What remains quadratic is exact verification of texts that are nearly
 similar enough, in different components, and made of each other's shingles.
@@ -46,7 +46,7 @@ from nearscore.llm.common import BROADCAST_BYTES, components, cut, free_names, m
 SEED = 42
 RADIUS = 2
 BLOCK = 1 << 14
-#: near_links: the least similarity, words of a shingle, and the chance to find a pair at that similarity.
+#: near_labels: the least similarity, words of a shingle, and the chance to find a pair at that similarity.
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.995
 #: A pair at the similarity passes a look at n of its bits unless it differs in this many standard deviations more.
 SIGMAS = 3.5
@@ -54,7 +54,7 @@ SIGMAS = 3.5
 #: buckets over HOT rows are split. Keys have less than KEY_BITS bits, salts the rest. SEEN ids are held in a task at most.
 FIRST, WIDE, ROWS, HOT, KEY_BITS, SEEN = 2, 64, 256, 2048, 46, 1 << 20
 #: Open nodes have so many times 64 further bits, which pairs are looked at by before they are verified.
-FURTHER = 8
+FURTHER = 32
 
 
 def shingle_hashes(text: str | None, words: int):
@@ -490,9 +490,9 @@ class Corpus:
         return cut(out.join(sets.select("id", "further").dropDuplicates(["id"]), "id"))
 
 
-def near_links(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
-    """u > v: pairs of nodes whose shingle sets have at least the similarity, enough of them to connect all nodes that such
-    pairs connect. The module's text tells of the rounds."""
+def near_labels(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
+    """id and label of nodes: those with one label are connected by pairs whose shingle sets have at least the similarity.
+    The module's text tells of the rounds. What round 3 links are the labels of round 1, so its graph is a small one."""
     nodes, balls = corpus.nodes, Balls(corpus.nodes, corpus.tables, corpus.bits, hot_rows)
     most, most_of_all = corpus.most(64 + balls.others * corpus.bits), corpus.most(64 * (1 + FURTHER) + corpus.tables * corpus.bits)
     # 1: partners in a few tables
@@ -511,15 +511,17 @@ def near_links(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
     release(nodes.sparkSession)
     # 3: all their collisions that are left
     rest = in_buckets(balls.rows(able), corpus.bits, most, most_of_all, "all", able.select("id", "tables"))
-    return links.union(corpus.verified(cut(rest.join(tried, ["u", "v"], "left_anti")), looked=True))
+    links = corpus.verified(cut(rest.join(tried, ["u", "v"], "left_anti")), looked=True)
+    links = links.join(label.toDF("u", "label_u"), "u").join(label.toDF("v", "label_v"), "v")
+    merged = components(links.select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))).toDF("label", "least")
+    return label.join(small(merged, 24), "label", "left").select("id", F.coalesce("least", "label").alias("label"))
 
 
 def near_classes(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, hot_rows: int = 0) -> DataFrame:
     """id, sha (of the text, binary) and class_id (the least id of those that links connect, itself included) of every row
     with an id and a word."""
     corpus = Corpus(df, id_col, text_col, words, similarity, recall)
-    labels = components(near_links(corpus, hot_rows)).withColumnRenamed("node", "id")
-    nodes = cut(corpus.nodes.join(small(labels, 24), "id", "left").select("sha", "least_id", F.coalesce("label", "id").alias("label")))
+    nodes = cut(corpus.nodes.join(near_labels(corpus, hot_rows), "id").select("sha", "least_id", "label"))
     classes = nodes.groupBy("label").agg(F.min("least_id").alias("class_id"))
     of = cut(nodes.join(classes, "label").select("sha", "class_id"))
     return corpus.docs.select("id", "sha").join(of, "sha").select("id", "sha", "class_id")

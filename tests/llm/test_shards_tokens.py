@@ -305,7 +305,7 @@ def test_a_large_group_of_near_copies(spark, hot_rows=40):
 
 
 def test_groups_around_the_similarity(spark):
-    """Six groups of texts at about 0.8 from each other, where hubs link few: every merge of all pairs' links is found."""
+    """Six groups of texts at about 0.8 from each other: every merge of all pairs' links is found."""
     rng, rows = random.Random(12), []
     for g in range(6):
         base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
