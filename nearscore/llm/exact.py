@@ -1,7 +1,7 @@
 """Exact dedup by progressive refinement: rows are grouped by length, then by a hash of a prefix, then by a hash of
 the whole text, and a step looks only at rows whose group still has two or more after the step before.
 
-What crosses the network is never text. Group keys are counted with map-side combining, so a group that holds a
+What crosses the network to find groups is never text. Group keys are counted with map-side combining, so a group that holds a
 third of all rows is one row for each map task; groups of one are dropped before the next step. The surviving keys
 of the first two steps go back to the scan as a map of bits (KeyMap): 64 bits a key, and never more than `limit` bytes, so
 the same steps run at every size. A key that survives always has its bit; other keys with the same bit only cost their rows
@@ -9,7 +9,8 @@ the next hash, which tells them apart (a map of 2^27 bits, the largest by defaul
 
 Cases: null text counts as empty; rows that repeat a document's id and text are rows of the group, counted in
 group_size and all kept or all dropped with it; of ties by id all rows stay; a null id never stays while its group has
-another; very long texts are hashed in place and never moved; an empty table gives an empty result; extra columns come back
+another; very long texts are hashed in place (exact_dedup() moves rows only where
+groups are too many to be broadcast); an empty table gives an empty result; extra columns come back
 as they were, whatever their names.
 """
 
