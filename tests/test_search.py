@@ -66,6 +66,28 @@ def test_exact_knn_with_ties(spark):
     assert knn.exact_knn(queries.limit(0), refs).count() == 0
 
 
+def test_scan_of_many_cells(spark):
+    """Copies are kept k times, equal queries asked once, far blocks not read, and the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.random((9000, 3)), np.repeat(rng.random((30, 3)), 100, axis=0), np.full((9000, 3), 0.25)].astype(np.float32)
+    rows = [(i, [float(a) for a in v], i % 2) for i, v in enumerate(x)]
+    refs = spark.createDataFrame(rows, "ref_id long, vector array<float>, is_fraud int").repartition(5)
+    queries = refs.where("ref_id % 300 = 0").select(F.col("ref_id").alias("query_id"), "vector")
+    scan = knn.Scan(refs, 5)
+    assert scan.cells.count > 1 and scan.blocks.agg(F.sum(F.length("r_ids") / 8)).first()[0] == 9000 + 30 * 5 + 5
+    reps, of = knn.distinct_queries(queries)
+    assert (reps.count(), of.count()) == (30 + 10 + 1, 70)
+    assert neighbours(knn.exact_knn(queries, scan)) == brute(refs, queries, 5)
+    far = spark.createDataFrame([(0, [9.0, -9.0, 9.0]), (1, [0.25, 0.25, 0.25]), (1, [0.25, 0.25, 0.25])], "query_id long, vector array<float>")
+    assert neighbours(knn.exact_knn(far, scan)) == brute(refs, far.distinct(), 5)
+
+
+def test_queries_in_parts(spark, refs, monkeypatch):
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 4000)
+    queries = T.searches(refs)
+    assert neighbours(knn.exact_knn(queries, refs, dims=14)) == brute(refs, queries, 5)
+
+
 def test_all_probes_equal_exact_integer_search(refs, index):
     queries = T.searches(refs)
     want = brute(refs, queries, 10, integers=True)
