@@ -88,6 +88,14 @@ def test_queries_in_parts(spark, refs, monkeypatch):
     assert neighbours(knn.exact_knn(queries, refs, dims=14)) == brute(refs, queries, 5)
 
 
+def test_a_stream_prepares_its_references_once(refs):
+    context = ScoringContext(refs=refs)
+    queries = T.searches(refs).limit(3)
+    assert context.neighbours(queries).count() == 15
+    first = context.scan
+    assert context.neighbours(queries).count() == 15 and context.scan is first is not None
+
+
 def test_all_probes_equal_exact_integer_search(refs, index):
     queries = T.searches(refs)
     want = brute(refs, queries, 10, integers=True)
