@@ -96,6 +96,16 @@ def test_a_stream_prepares_its_references_once(refs):
     assert context.neighbours(queries).count() == 15 and context.scan is first is not None
 
 
+def test_ready_index_finds_the_same(refs, index):
+    """Of postings that are equal once quantised no more are kept than a search returns."""
+    copies = refs.unionByName(refs.select((F.col("ref_id") + 100000).alias("ref_id"), "vector", "is_fraud"))
+    twice = ivf.build(copies.unionByName(refs.select((F.col("ref_id") + 200000).alias("ref_id"), "vector", "is_fraud")), K.kmeans(refs, 16, 1, 14), 14, 4)
+    q = ivf.quantized(T.searches(refs))
+    once = ivf.ready(twice, 2)
+    assert once.postings.count() <= twice.postings.count() * 2 / 3
+    assert neighbours(ivf.pruned_candidates(q, once, 4, 2)) == neighbours(ivf.candidates(q, twice, 4, 2))
+
+
 def test_all_probes_equal_exact_integer_search(refs, index):
     queries = T.searches(refs)
     want = brute(refs, queries, 10, integers=True)
