@@ -14,8 +14,8 @@ from the number of documents (buckets hold a few rows at every size), their numb
 `similarity` differs in at most 2 bits in one of them: RECALL. (Their width stops at 40 bits, which is enough for 2**37
 documents; beyond, buckets grow with the corpus.) Nothing is capped:
 
-1. Equal texts are one node. In the first tables each row names one partner in its bucket, the one with most collisions
-   there, so a group of copies meets what it was made from: a row for each row of a bucket, never a row for each pair.
+1. Equal texts are one node. In the first tables each node names up to three partners a table, those with most collisions
+   in its buckets, so a group of copies meets what it was made from: a few rows for each node, never a row for each pair.
 2. In all tables, nodes that still collide with a node of another component are open. A pair shares no more
    shingles than either has in common with all other open nodes, which gives each a largest set that it could be similar
    enough to (Corpus.reach). It is exact, and leaves few of a family that shares a template just below the similarity.
@@ -23,7 +23,8 @@ documents; beyond, buckets grow with the corpus.) Nothing is capped:
    verified, whatever the size of the bucket. Each pair comes from the first table in which it
    collides, and 2,048 further bits that only open nodes have sort out most that are not similar enough.
 
-Buckets over HOT rows are split with salts (Balls). What remains quadratic is exact verification of texts that are nearly
+Rounds 2 and 3 take AT_ONCE tables at a time and drop their shuffles, so the disk needed at once does not grow with the
+number of tables. Buckets over HOT rows are split with salts (Balls). What remains quadratic is exact verification of texts that are nearly
 similar enough, in different components, and made of each other's shingles.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero, linked like any other; very long texts
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -50,6 +52,8 @@ BLOCK = 1 << 14
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.995
 #: A pair at the similarity passes a look at n of its bits unless it differs in this many standard deviations more.
 SIGMAS = 3.5
+#: Tables whose rows are shuffled at once; the disk that a round needs does not grow with the number of tables.
+AT_ONCE = 4
 #: Tables of the first round; pairs in buckets up to WIDE rows are found together, in larger ones by ROWS rows at a time;
 #: buckets over HOT rows are split. Keys have less than KEY_BITS bits, salts the rest. SEEN ids are held in a task at most.
 FIRST, WIDE, ROWS, HOT, KEY_BITS, SEEN = 2, 64, 256, 2048, 46, 1 << 20
@@ -125,7 +129,7 @@ def bit_chance(similarity: float) -> float:
 
 def tables_for(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """Number of tables and their width in bits for n documents."""
-    bits, p = min(40, max(16, math.ceil(math.log2(max(n, 2))) + 3)), bit_chance(similarity)
+    bits, p = min(40, max(16, math.ceil(math.log2(max(n, 2))) + 1)), bit_chance(similarity)
     found = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(RADIUS + 1))
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found))), bits
 
@@ -251,8 +255,14 @@ class Buckets:
             yield self._first(*map(np.concatenate, zip(*found)))
 
     def partners(self):
-        """(ids, ids): of every row with pairs, its pair with the row that has the most. Hubs attract: copies meet what
-        they were made from."""
+        """(ids, ids) of named()."""
+        for a, b, _, _ in self.named():
+            yield a, b
+
+    def named(self):
+        """(ids, ids, degrees, kinds): of every row with pairs, its pair with the row that has the most. Hubs attract: copies
+        meet what they were made from. Kinds tell a table's buckets apart by what a row differs in from their key: nothing, an
+        even or an odd bit."""
         import numpy as np
 
         for a, b in self.pairs():
@@ -261,7 +271,9 @@ class Buckets:
                 degree = np.bincount(one, minlength=len(self.key))
                 order = np.lexsort((self.id[two], -degree[two], one))
                 first = order[np.r_[True, one[order][1:] != one[order][:-1]]]
-                yield self.id[one[first]], self.id[two[first]]
+                row, mask = one[first], self.mask[one[first]]
+                kind = np.where(mask == 0, 0, np.where(mask & 0x5555555555555555 != 0, 1, 2))
+                yield self.id[row], self.id[two[first]], degree[two[first]], ((self.key[row] & ((1 << KEY_BITS) - 1)) >> self.bits) * 3 + kind
 
     def all(self):
         for a, b in self.pairs():
@@ -307,10 +319,26 @@ def _matrix(of_nodes: DataFrame):
     return of_nodes.sparkSession.sparkContext.broadcast((got["id"].to_numpy().copy(), np.ascontiguousarray(tables)))
 
 
-def in_buckets(rows: DataFrame, bits: int, most: int, most_of_all: int, what: str, of_nodes: DataFrame | None = None) -> DataFrame:
-    """u > v: what Buckets finds (partners or all) in rows with its columns. of_nodes: id and tables of the nodes, materialised; if
-    they stay under BROADCAST_BYTES they are sent to the tasks once, in place of a copy in each of a node's rows."""
-    sent = _matrix(of_nodes) if of_nodes else None
+def partners(rows: DataFrame, bits: int, most: int) -> DataFrame:
+    """u > v: of every row's partners in a table the one that has most collisions, for each of the kinds of Buckets.named():
+    at most three a node and table, whatever the number of buckets."""
+    n = len(rows.columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for columns in by_key(batches, n):
+            for found in Buckets(columns, bits, most, 0).named():
+                yield dict(zip(("id", "partner", "degree", "kind"), map(pa.array, found)))
+
+    found = map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "id long, partner long, degree long, kind long")
+    best = found.groupBy("id", "kind").agg(F.max_by("partner", F.struct("degree", -F.col("partner"))).alias("partner"))
+    return best.select(F.greatest("id", "partner").alias("u"), F.least("id", "partner").alias("v")).where("u <> v").distinct()
+
+
+def all_pairs(rows: DataFrame, bits: int, most: int, most_of_all: int, sent=None) -> DataFrame:
+    """u > v: all pairs that Buckets finds in rows with its columns. sent: what _matrix() sends to the tasks once, in place of a
+    copy in each of a node's rows."""
     rows = rows.drop("tables") if sent else rows
     n = len(rows.columns)
 
@@ -322,7 +350,7 @@ def in_buckets(rows: DataFrame, bits: int, most: int, most_of_all: int, what: st
             if sent:
                 ids, tables = sent.value
                 columns.append(tables[np.searchsorted(ids, columns[2])])
-            for a, b in getattr(Buckets(columns, bits, most, most_of_all), what)():
+            for a, b in Buckets(columns, bits, most, most_of_all).all():
                 yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))}
 
     return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long").where("u <> v").distinct()
@@ -381,12 +409,16 @@ class Balls:
         each = nodes.select("id", F.posexplode("tables").alias("t", "value")).select("id", "t", "value", F.explode(self.masks).alias("mask"))
         return each.select("id", self._key("t", "value", F.col("mask"))).join(small(self.hot.select("key"), 16), "key", "left_semi").select("id")
 
-    def rows(self, nodes: DataFrame, tables: int | None = None) -> DataFrame:
-        """The columns of Buckets for nodes, of the first so many tables. Where a bucket is split, the rows whose
+    def parts(self) -> list[range]:
+        """The tables, AT_ONCE at a time."""
+        return [range(t, min(t + AT_ONCE, self.tables)) for t in range(0, self.tables, AT_ONCE)]
+
+    def rows(self, nodes: DataFrame, part: range) -> DataFrame:
+        """The columns of Buckets for nodes, of some tables. Where a bucket is split, the rows whose
         label is not that of its representative go to every part, or the representative alone as long as labels are ids."""
         more = ["label", "size", "reach", "tables"] if "reach" in nodes.columns else ["label"] if "label" in nodes.columns else []
-        part = F.slice("tables", 1, tables) if tables else F.col("tables")
-        each = nodes.select("id", "check", "tables", *more[:3], F.posexplode(part).alias("t", "value"))
+        each = nodes.select("id", "check", "tables", *more[:3], F.posexplode(F.slice("tables", part.start + 1, len(part))).alias("t", "value"))
+        each = each.withColumn("t", F.col("t") + part.start)
         # 64 bits more of a row are those of the tables that follow its own
         other = F.lit(0).cast("long")
         for k in range(self.others):
@@ -496,22 +528,26 @@ def near_labels(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
     nodes, balls = corpus.nodes, Balls(corpus.nodes, corpus.tables, corpus.bits, hot_rows)
     most, most_of_all = corpus.most(64 + balls.others * corpus.bits), corpus.most(64 * (1 + FURTHER) + corpus.tables * corpus.bits)
     # 1: partners in a few tables
-    tried = cut(in_buckets(balls.rows(nodes, FIRST), corpus.bits, most, most_of_all, "partners"))
+    tried = cut(partners(balls.rows(nodes, range(min(FIRST, corpus.tables))), corpus.bits, most))
     links = corpus.verified(tried)
     # 2: nodes with collisions outside their component, and of these the ones that can be similar enough to any other
     labelled = cut(corpus.labelled(links))
     label = labelled.select("id", "label")
     apart = tried.join(label.toDF("u", "label_u"), "u").join(label.toDF("v", "label_v"), "v").where("label_u <> label_v")
     known = cut(ends(apart, "id").distinct())
-    open_ = paired(balls.rows(labelled), corpus.bits, most, known)
-    open_ = cut(open_.union(balls.in_hot(labelled)).distinct() if balls.any_hot else open_)
-    release(nodes.sparkSession)
+    open_ = cut(known.union(balls.in_hot(labelled)).distinct()) if balls.any_hot else known
+    for part in balls.parts():
+        open_ = cut(paired(balls.rows(labelled, part), corpus.bits, most, open_))
+        release(nodes.sparkSession)
     reach = small(corpus.reach(open_), 24 + 8 * FURTHER)
     able = cut(labelled.join(reach, "id").withColumn("tables", F.concat("tables", "further")).drop("further"))
     release(nodes.sparkSession)
     # 3: all their collisions that are left
-    rest = in_buckets(balls.rows(able), corpus.bits, most, most_of_all, "all", able.select("id", "tables"))
-    links = corpus.verified(cut(rest.join(tried, ["u", "v"], "left_anti")), looked=True)
+    sent, rest = _matrix(able.select("id", "tables")), []
+    for part in balls.parts():  # each pair comes from one table
+        rest.append(cut(all_pairs(balls.rows(able, part), corpus.bits, most, most_of_all, sent).join(tried, ["u", "v"], "left_anti")))
+        release(nodes.sparkSession)
+    links = corpus.verified(cut(reduce(DataFrame.unionByName, rest).distinct()), looked=True)
     links = links.join(label.toDF("u", "label_u"), "u").join(label.toDF("v", "label_v"), "v")
     merged = components(links.select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))).toDF("label", "least")
     return label.join(small(merged, 24), "label", "left").select("id", F.coalesce("least", "label").alias("label"))

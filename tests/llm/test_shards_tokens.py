@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from nearscore.llm import bpe, exact, packing, sharding, simhash, tokens
 
@@ -360,6 +361,31 @@ def test_most_of_a_family_below_the_similarity_is_never_tried(spark):
     assert 20 <= able < 0.02 * 420 * 419 / 2
 
 
+def test_partners_grow_with_nodes_and_not_with_buckets(spark):
+    """A group of near copies whose members meet in most of their buckets: a few partners each, and still one class."""
+    rng = random.Random(14)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(k, changed(rng, base, 0.01, f"z{k}")) for k in range(400)]
+    corpus = simhash.Corpus(frame(spark, rows), "doc_id", "text", 5, 0.8, 0.995)
+    balls = simhash.Balls(corpus.nodes, corpus.tables, corpus.bits)
+    tried = simhash.partners(balls.rows(corpus.nodes, range(simhash.FIRST)), corpus.bits, corpus.most(64 + balls.others * corpus.bits))
+    assert 399 <= tried.count() <= 400 * 3 * simhash.FIRST
+    assert len(classes_of(frame(spark, rows))) == 1
+
+
+def test_tables_at_once_cover_all_rows(spark):
+    """Parts of the tables have the rows of all, also where nodes have further bits behind their tables."""
+    corpus = simhash.Corpus(frame(spark, template_family(50, 5, 3)), "doc_id", "text", 5, 0.8, 0.995)
+    balls = simhash.Balls(corpus.nodes, corpus.tables, corpus.bits)
+    further = corpus.nodes.select("id", "check", F.col("id").alias("label"), F.col("size"), F.col("size").alias("reach"), F.concat("tables", F.array_repeat(F.lit(-1).cast("long"), 3)).alias("tables"))
+    parts = balls.parts()
+    assert [t for p in parts for t in p] == list(range(corpus.tables)) and max(map(len, parts)) <= simhash.AT_ONCE
+    for nodes in (corpus.nodes, further):
+        rows = [r for p in parts for r in balls.rows(nodes, p).collect()]
+        assert len({(r.key, r.id) for r in rows}) == len(rows) == 55 * corpus.tables * (corpus.bits + 1)
+        assert max(r.key for r in rows) >> corpus.bits == corpus.tables - 1
+
+
 def test_near_classes_equal_brute_force(spark, documents, awkward, no_rows):
     rng = random.Random(6)
     rows = [(r.doc_id, r.text) for r in documents.dropDuplicates(["text"]).limit(250).collect()]
