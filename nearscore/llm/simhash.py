@@ -16,12 +16,15 @@ documents; beyond, buckets grow with the corpus.) Nothing is capped:
 
 1. Equal texts are one node. In the first tables each node names up to three partners a table, those with most collisions
    in its buckets, so a group of copies meets what it was made from: a few rows for each node, never a row for each pair.
+   Those that all bits find likely are verified; the others are left to round 3.
 2. In all tables, nodes that still collide with a node of another component are open. A pair shares no more
    shingles than either has in common with all other open nodes, which gives each a largest set that it could be similar
    enough to (Corpus.reach). It is exact, and leaves few of a family that shares a template just below the similarity.
 3. All collisions in all tables of open nodes with a reach, in different components and within reach of each other, are
-   verified, whatever the size of the bucket. Each pair comes from the first table in which it
-   collides, and 2,048 further bits that only open nodes have sort out most that are not similar enough.
+   looked at, whatever the size of the bucket. Each pair comes from the first table in which it
+   collides, and 2,048 further bits that only open nodes have sort out most that are not similar enough. Of each two
+   components the nearest pair is verified first, and then all other pairs of those that this has not merged: a text and
+   a large group that it belongs to cost a pair a bucket, not one for each of the group.
 
 Rounds 2 and 3 take AT_ONCE tables at a time and drop their shuffles, so the disk needed at once does not grow with the
 number of tables. Buckets over HOT rows are split with salts (Balls). What remains quadratic is exact verification of texts that are nearly
@@ -52,11 +55,15 @@ BLOCK = 1 << 14
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.995
 #: A pair at the similarity passes a look at n of its bits unless it differs in this many standard deviations more.
 SIGMAS = 3.5
+#: In round 1 a pair is verified if it differs in no more than this many standard deviations more; others are left to round 3.
+LIKELY = 1.0
 #: Tables whose rows are shuffled at once; the disk that a round needs does not grow with the number of tables.
 AT_ONCE = 4
 #: Tables of the first round; pairs in buckets up to WIDE rows are found together, in larger ones by ROWS rows at a time;
 #: buckets over HOT rows are split. Keys have less than KEY_BITS bits, salts the rest. SEEN ids are held in a task at most.
 FIRST, WIDE, ROWS, HOT, KEY_BITS, SEEN = 2, 64, 256, 2048, 46, 1 << 20
+#: Pairs whose further bits a task looks at at once.
+LOOK = 1 << 14
 #: Open nodes have so many times 64 further bits, which pairs are looked at by before they are verified.
 FURTHER = 32
 
@@ -220,25 +227,35 @@ class Buckets:
             here &= (size[a] <= reach[b]) & (size[b] <= reach[a])
         return here
 
-    def _first(self, a, b):
-        """Those of pairs that collide in no earlier table and are near in all bits."""
+    def _differing(self, a, b):
+        """Bits of all in which pairs differ, and whether they collide in no earlier table."""
         import numpy as np
 
-        if not self.more or not len(a):
-            return a, b
         tables = self.more[2]  # and further bits behind them
-        d = np.bitwise_count(tables[a] ^ tables[b]).astype(np.int64)
+        d = np.bitwise_count(tables[a] ^ tables[b])
         t = (self.key[a] & ((1 << KEY_BITS) - 1)) >> self.bits
         earlier = ((d <= RADIUS) & (np.arange(tables.shape[1])[None] < t[:, None])).any(axis=1)
-        keep = ~earlier & (d.sum(axis=1) + np.bitwise_count(self.check[a] ^ self.check[b]) <= self.most_of_all)
-        return a[keep], b[keep]
+        return d.sum(axis=1, dtype=np.int64) + np.bitwise_count(self.check[a] ^ self.check[b]), ~earlier
 
-    def pairs(self):
-        """Index arrays (a, b): all pairs of small buckets together, then those of each larger one."""
+    def _first(self, a, b):
+        """(a, b, bits that differ) of those of pairs that collide in no earlier table and are near in all bits, LOOK pairs at a
+        time: a pair's bits are many times its ids."""
         import numpy as np
 
-        size = np.diff(self.border)
-        few, found = np.repeat(size <= WIDE, size), [(np.empty(0, np.int64),) * 2]
+        if not self.more:
+            return a, b, np.zeros(len(a), np.int64)
+        found = [(np.empty(0, np.int64),) * 3]
+        for k in range(0, len(a), LOOK):
+            x, y = a[k : k + LOOK], b[k : k + LOOK]
+            d, keep = self._differing(x, y)
+            keep &= d <= self.most_of_all
+            found.append((x[keep], y[keep], d[keep]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    def _small(self, few):
+        import numpy as np
+
+        found = [(np.empty(0, np.int64),) * 2]
         for step in range(1, min(WIDE, len(self.key))):
             a = np.flatnonzero((self.key[step:] == self.key[:-step]) & few[:-step])
             if not len(a):
@@ -246,13 +263,27 @@ class Buckets:
             a = a[self._wanted(a, a + step)]
             found.append((a, a + step))
         yield self._first(*map(np.concatenate, zip(*found)))
+
+    def _large(self, at: int, n: int):
+        import numpy as np
+
+        for k in range(at, at + n, ROWS):
+            part, others = np.arange(k, min(k + ROWS, at + n)), np.arange(k, at + n)
+            row, col = np.nonzero((others[None] > part[:, None]) & self._wanted(part[:, None], others[None]))
+            yield self._first(part[row], others[col])
+
+    def buckets(self):
+        """(begin, end, index arrays (a, b, bits that differ), some at a time): small buckets together, then each larger one."""
+        import numpy as np
+
+        size = np.diff(self.border)
+        yield 0, len(self.key), self._small(np.repeat(size <= WIDE, size))
         for at, n in zip(self.border[:-1][size > WIDE].tolist(), size[size > WIDE].tolist()):
-            found = [(np.empty(0, np.int64),) * 2]
-            for k in range(at, at + n, ROWS):
-                part, others = np.arange(k, min(k + ROWS, at + n)), np.arange(k, at + n)
-                row, col = np.nonzero((others[None] > part[:, None]) & self._wanted(part[:, None], others[None]))
-                found.append((part[row], others[col]))
-            yield self._first(*map(np.concatenate, zip(*found)))
+            yield at, at + n, self._large(at, n)
+
+    def pairs(self):
+        for _, _, parts in self.buckets():
+            yield from parts
 
     def partners(self):
         """(ids, ids) of named()."""
@@ -265,26 +296,46 @@ class Buckets:
         even or an odd bit."""
         import numpy as np
 
-        for a, b in self.pairs():
-            if len(a):
-                one, two = np.r_[a, b], np.r_[b, a]
-                degree = np.bincount(one, minlength=len(self.key))
-                order = np.lexsort((self.id[two], -degree[two], one))
-                first = order[np.r_[True, one[order][1:] != one[order][:-1]]]
-                row, mask = one[first], self.mask[one[first]]
+        for begin, end, parts in self.buckets():
+            n, parts = end - begin, [((a - begin).astype(np.int32), (b - begin).astype(np.int32)) for a, b, _ in parts if len(a)]
+            degree = np.zeros(n, np.int64)
+            for one in (x for pair in parts for x in pair):
+                degree += np.bincount(one, minlength=n)
+            order = np.lexsort((self.id[begin:end], -degree))
+            rank, best = np.empty(n, np.int32), np.full(n, n, np.int32)
+            rank[order] = np.arange(n)
+            for a, b in parts:
+                np.minimum.at(best, a, rank[b])
+                np.minimum.at(best, b, rank[a])
+            if len(row := np.flatnonzero(best < n)):
+                other, mask = order[best[row]], self.mask[begin + row]
                 kind = np.where(mask == 0, 0, np.where(mask & 0x5555555555555555 != 0, 1, 2))
-                yield self.id[row], self.id[two[first]], degree[two[first]], ((self.key[row] & ((1 << KEY_BITS) - 1)) >> self.bits) * 3 + kind
+                yield self.id[begin + row], self.id[begin + other], degree[other], ((self.key[begin + row] & ((1 << KEY_BITS) - 1)) >> self.bits) * 3 + kind
 
     def all(self):
-        for a, b in self.pairs():
+        for a, b, _ in self.pairs():
             yield self.id[a], self.id[b]
 
+    def labelled(self, nearest: bool = False):
+        """(ids, ids, labels, labels, bits that differ) of all pairs, or of the nearest of each two labels, once a bucket or so."""
+        import numpy as np
+
+        for a, b, d in self.pairs():
+            if nearest and len(a):
+                low, high = np.minimum(self.label[a], self.label[b]), np.maximum(self.label[a], self.label[b])
+                order = np.lexsort((d, high, low))
+                low, high = low[order], high[order]
+                first = order[np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]]
+                a, b, d = a[first], b[first], d[first]
+            yield self.id[a], self.id[b], self.label[a], self.label[b], d
+
     def paired(self):
         """ids of rows with pairs, each once a bucket or so."""
         import numpy as np
 
-        for a, b in self.pairs():
-            yield np.unique(np.r_[self.id[a], self.id[b]])
+        for a, b, _ in self.pairs():
+            if len(a):
+                yield np.unique(np.r_[self.id[a], self.id[b]])
 
 
 def by_key(batches, n: int):
@@ -336,8 +387,9 @@ def partners(rows: DataFrame, bits: int, most: int) -> DataFrame:
     return best.select(F.greatest("id", "partner").alias("u"), F.least("id", "partner").alias("v")).where("u <> v").distinct()
 
 
-def all_pairs(rows: DataFrame, bits: int, most: int, most_of_all: int, sent=None) -> DataFrame:
-    """u > v: all pairs that Buckets finds in rows with its columns. sent: what _matrix() sends to the tasks once, in place of a
+def all_pairs(rows: DataFrame, bits: int, most: int, most_of_all: int, sent=None, nearest: bool = False) -> DataFrame:
+    """u > v, their labels and the bits in which they differ: all pairs that Buckets finds in rows with its columns, or the
+    nearest of each two labels in a bucket. sent: what _matrix() sends to the tasks once, in place of a
     copy in each of a node's rows."""
     rows = rows.drop("tables") if sent else rows
     n = len(rows.columns)
@@ -350,14 +402,16 @@ def all_pairs(rows: DataFrame, bits: int, most: int, most_of_all: int, sent=None
             if sent:
                 ids, tables = sent.value
                 columns.append(tables[np.searchsorted(ids, columns[2])])
-            for a, b in Buckets(columns, bits, most, most_of_all).all():
-                yield {"u": pa.array(np.maximum(a, b)), "v": pa.array(np.minimum(a, b))}
+            for a, b, of_a, of_b, differ in Buckets(columns, bits, most, most_of_all).labelled(nearest):
+                of_u, of_v = np.where(a > b, of_a, of_b), np.where(a > b, of_b, of_a)
+                yield dict(zip(("u", "v", "label_u", "label_v", "differ"), map(pa.array, (np.maximum(a, b), np.minimum(a, b), of_u, of_v, differ))))
 
-    return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long").where("u <> v").distinct()
+    found = map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long, label_u long, label_v long, differ long")
+    return found.where("u <> v").distinct()
 
 
 def paired(rows: DataFrame, bits: int, most: int, known: DataFrame) -> DataFrame:
-    """id of every row that shares a key with another in a way that counts, besides those in known. rows: of Buckets."""
+    """id of every row that shares a key with another in a way that counts, and those in known. rows: of Buckets."""
     n = len(rows.columns)
     rows = rows.join(small(known, 16).withColumn("known", F.lit(1).cast("long")), "id", "left")
     rows = rows.select("key", "mask", "id", "check", "other", "label", F.coalesce("known", F.lit(0).cast("long")).alias("known"))
@@ -457,29 +511,35 @@ class Corpus:
         classes = self.docs.groupBy("sha", "size", "check", "tables").agg(F.min("id").alias("least_id"))
         self.nodes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
 
-    def most(self, width: int) -> int:
+    def most(self, width: int, sigmas: float = SIGMAS) -> int:
         """Bits out of `width` in which a pair at the similarity differs at most; one in 4,000 such pairs differs in more."""
         p = bit_chance(self.similarity)
-        return math.floor(width * p + SIGMAS * math.sqrt(width * p * (1 - p)))
+        return math.floor(width * p + sigmas * math.sqrt(width * p * (1 - p)))
 
     def sets(self, ids: DataFrame, further: int = 0) -> DataFrame:
         """id and shingles of nodes, and in `further` so many times 64 further bits. ids: materialised."""
         words, first = self.words, 1 + -(-self.tables * self.bits // 64)
 
         def rows(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            def lists(arrays):
+                ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+                return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+
             for batch in batches:
                 sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-                more = [[majority(x, first + k, "<i8") for k in range(further)] for x in sets]
-                yield {"id": batch.column(0), "shingles": [x.view("i8").tolist() for x in sets], "further": more}
+                more = [np.array([majority(x, first + k, "<i8") for k in range(further)], np.int64) for x in sets]
+                yield {"id": batch.column(0), "shingles": lists([x.view("i8") for x in sets]), "further": lists(more)}
 
         wanted = small(cut(self.nodes.join(small(ids, 16), "id").select("sha", "id", "least_id")), 64)
         # one row of each text: the one with its least id (a repeated row gives its set twice, which distinct ids undo)
         texts = self.texts.withColumnRenamed("id", "least_id").withColumn("sha", F.unhex(F.sha2("text", 256))).join(wanted, ["sha", "least_id"])
         return map_batches(texts.select("id", "text"), rows, "id long, shingles array<long>, further array<long>")
 
-    def verified(self, pairs: DataFrame, looked: bool = False) -> DataFrame:
-        """Those of pairs (u, v) that are similar enough, exactly, after a look at all bits unless these were looked at before."""
-        pairs = pairs if looked else self.near_in_bits(pairs)
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (u, v, materialised) that are similar enough, exactly."""
         sets = cut(self.sets(cut(ends(pairs, "id").distinct())))
         # sets under the limit go to the pairs; beyond it pairs and sets are shuffled
         total = sets.agg(F.sum(F.size("shingles") * 8 + 64)).first()[0] or 0
@@ -493,12 +553,12 @@ class Corpus:
         return links
 
     def near_in_bits(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (u, v) that differ in few enough of all bits."""
+        """Those of pairs (u, v) that differ in few enough of all bits, and in how many."""
         a, b = (self.nodes.select(F.col("id").alias(x), F.col("check").alias(f"check_{x}"), F.col("tables").alias(f"tables_{x}")) for x in "uv")
         differing = F.bit_count(F.col("check_u").bitwiseXOR(F.col("check_v"))) + F.aggregate(
             F.zip_with("tables_u", "tables_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
         )
-        return cut(pairs.join(a, "u").join(b, "v").where(differing <= self.most(64 + self.tables * self.bits)).select("u", "v"))
+        return cut(pairs.join(a, "u").join(b, "v").select("u", "v", differing.alias("differ")).where(F.col("differ") <= self.most(64 + self.tables * self.bits)))
 
     def labelled(self, links: DataFrame) -> DataFrame:
         """nodes with the label of their component, their own id if they have no link."""
@@ -527,29 +587,40 @@ def near_labels(corpus: Corpus, hot_rows: int = 0) -> DataFrame:
     The module's text tells of the rounds. What round 3 links are the labels of round 1, so its graph is a small one."""
     nodes, balls = corpus.nodes, Balls(corpus.nodes, corpus.tables, corpus.bits, hot_rows)
     most, most_of_all = corpus.most(64 + balls.others * corpus.bits), corpus.most(64 * (1 + FURTHER) + corpus.tables * corpus.bits)
-    # 1: partners in a few tables
-    tried = cut(partners(balls.rows(nodes, range(min(FIRST, corpus.tables))), corpus.bits, most))
+    # 1: likely partners in a few tables
+    tried = corpus.near_in_bits(cut(partners(balls.rows(nodes, range(min(FIRST, corpus.tables))), corpus.bits, most)))
+    tried = cut(tried.where(F.col("differ") <= corpus.most(64 + corpus.tables * corpus.bits, LIKELY)).select("u", "v"))
     links = corpus.verified(tried)
     # 2: nodes with collisions outside their component, and of these the ones that can be similar enough to any other
     labelled = cut(corpus.labelled(links))
     label = labelled.select("id", "label")
-    apart = tried.join(label.toDF("u", "label_u"), "u").join(label.toDF("v", "label_v"), "v").where("label_u <> label_v")
-    known = cut(ends(apart, "id").distinct())
-    open_ = cut(known.union(balls.in_hot(labelled)).distinct()) if balls.any_hot else known
+    open_ = cut(balls.in_hot(labelled).distinct() if balls.any_hot else nodes.select("id").limit(0))
     for part in balls.parts():
         open_ = cut(paired(balls.rows(labelled, part), corpus.bits, most, open_))
         release(nodes.sparkSession)
     reach = small(corpus.reach(open_), 24 + 8 * FURTHER)
     able = cut(labelled.join(reach, "id").withColumn("tables", F.concat("tables", "further")).drop("further"))
     release(nodes.sparkSession)
-    # 3: all their collisions that are left
-    sent, rest = _matrix(able.select("id", "tables")), []
-    for part in balls.parts():  # each pair comes from one table
-        rest.append(cut(all_pairs(balls.rows(able, part), corpus.bits, most, most_of_all, sent).join(tried, ["u", "v"], "left_anti")))
-        release(nodes.sparkSession)
-    links = corpus.verified(cut(reduce(DataFrame.unionByName, rest).distinct()), looked=True)
-    links = links.join(label.toDF("u", "label_u"), "u").join(label.toDF("v", "label_v"), "v")
-    merged = components(links.select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))).toDF("label", "least")
+    # 3: all their collisions that are left, of any two components the nearest first
+    sent, links = _matrix(able.select("id", "tables")), None
+    for nearest in (True, False):
+        rest = []
+        for part in balls.parts():  # each pair comes from one table
+            found = all_pairs(balls.rows(able, part), corpus.bits, most, most_of_all, sent, nearest)
+            rest.append(cut(found.join(tried, ["u", "v"], "left_anti")))
+            release(nodes.sparkSession)
+        rest = reduce(DataFrame.unionByName, rest)
+        if nearest:
+            rest = rest.groupBy(F.least("label_u", "label_v").alias("label_u"), F.greatest("label_u", "label_v").alias("label_v"))
+            rest = cut(rest.agg(F.min(F.struct("differ", "u", "v")).alias("pair")).select("pair.u", "pair.v", "label_u", "label_v"))
+        similar = cut(corpus.verified(rest.select("u", "v")).join(rest, ["u", "v"]).select(F.col("label_u").alias("u"), F.col("label_v").alias("v")))
+        links = similar if links is None else links.union(similar)
+        if nearest:
+            merged = small(components(links).toDF("label", "least"), 24)
+            able = able.join(merged, "label", "left").withColumn("label", F.coalesce("least", "label")).drop("least")
+            able, tried = cut(able), cut(tried.union(rest.select("u", "v")))
+            release(nodes.sparkSession)
+    merged = components(links).toDF("label", "least")
     return label.join(small(merged, 24), "label", "left").select("id", F.coalesce("least", "label").alias("label"))
 
 

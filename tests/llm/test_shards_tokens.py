@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -418,3 +419,18 @@ def test_near_dedup_with_repeated_ids_and_clashing_names(spark):
 def test_tables_grow_with_documents():
     few, many = simhash.tables_for(10**4, 0.8, 0.995), simhash.tables_for(10**9, 0.8, 0.995)
     assert few[1] < many[1] and few[0] < many[0]
+
+
+def test_pairs_of_a_large_bucket_are_looked_at_in_parts():
+    """1,500 rows under one key, a million pairs: their further bits are never all held at once, and none of them is lost."""
+    rng = np.random.default_rng(5)
+    n, bits = 1500, 17
+    tables = np.repeat(rng.integers(0, 1 << bits, (1, 40), dtype=np.uint64), n, axis=0)
+    same = np.zeros(n, np.int64)
+    columns = [same, same, np.arange(n), same.view("u8"), same, np.arange(n), same + 100, same + 100, tables]
+    tracemalloc.start()
+    found = sum(len(pair[0]) for pair in simhash.Buckets(columns, bits, 62, 300).all())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * (n - 1) // 2 and peak < 100e6
+    assert sum(len(found[0]) for found in simhash.Buckets([*columns[:5], np.arange(n) % 3, *columns[6:]], bits, 62, 300).labelled(nearest=True)) <= 3 * -(-n // simhash.ROWS)
