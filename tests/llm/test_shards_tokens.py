@@ -421,6 +421,19 @@ def test_tables_grow_with_documents():
     assert few[1] < many[1] and few[0] < many[0]
 
 
+def test_a_text_and_a_large_group_cost_few_pairs(spark, monkeypatch):
+    """Groups at about the similarity, whose members meet in many buckets: of two components the nearest pair is verified first."""
+    rng, rows, tried = random.Random(12), [], []
+    for g in range(6):
+        base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+        rows += [(1000 * g + k, changed(rng, base, 0.01 + 0.0012 * (k % 8), f"y{g}x{k}")) for k in range(130)]
+    exact = simhash.Corpus.verified
+    monkeypatch.setattr(simhash.Corpus, "verified", lambda self, pairs, *more, **named: tried.append(pairs.count()) or exact(self, pairs, *more, **named))
+    want, got = connected(all_links(shingle_sets(rows))), classes_of(frame(spark, rows))
+    assert merges(got) == merges(want)
+    assert sum(tried) < 8 * len(rows), tried
+
+
 def test_pairs_of_a_large_bucket_are_looked_at_in_parts():
     """1,500 rows under one key, a million pairs: their further bits are never all held at once, and none of them is lost."""
     rng = np.random.default_rng(5)
