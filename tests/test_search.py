@@ -106,6 +106,30 @@ def test_ready_index_finds_the_same(refs, index):
     assert neighbours(ivf.pruned_candidates(q, once, 4, 2)) == neighbours(ivf.candidates(q, twice, 4, 2))
 
 
+def test_searches_of_several_widths(spark, refs, index, monkeypatch):
+    """Each finds what a search of its own finds, from blocks of one pack; a block of a cluster that is not probed is not read."""
+    copies = refs.unionByName(refs.select((F.col("ref_id") + 100000).alias("ref_id"), "vector", "is_fraud"))
+    twice = ivf.build(copies, K.kmeans(copies, 8, 1, 14), 14, 4)
+    queries = T.searches(copies)
+    monkeypatch.setattr(ivf, "ROWS", 100)
+    monkeypatch.setattr(ivf, "CELL_SAMPLE", 100)
+    posted = ivf.Posted(twice)
+    assert len(posted.cluster_of) > 8 and posted.blocks.count() >= len(posted.cluster_of)
+    for p, found in ivf.searches(queries, posted, copies, [8, 1, 3, 50]).items():
+        assert neighbours(found) == neighbours(ivf.search(queries, twice, copies, p, prune=False)), p
+    wide = posted.candidates(ivf.quantized(queries), [1, 3])
+    assert {p: neighbours(x) for p, x in wide.items()} == {p: neighbours(ivf.candidates(ivf.quantized(queries), twice, p)) for p in (1, 3)}
+    assert ivf.searches(queries.limit(0), posted, copies, [1])[1].count() == 0
+
+
+def test_rounds_move_sums_only(spark, refs, monkeypatch):
+    """A round of K-means gives the means of assign()'s members without sending rows back."""
+    first = K.stride_init(refs, 9)
+    want = {r.cluster_id: r.centroid for r in K.means(K.assign(refs, first), 14).collect()}
+    monkeypatch.setattr(K, "assign", None)
+    assert all(np.allclose(c, want[i], atol=1e-12) for i, c in K.step(refs, first, 14))
+
+
 def test_all_probes_equal_exact_integer_search(refs, index):
     queries = T.searches(refs)
     want = brute(refs, queries, 10, integers=True)
